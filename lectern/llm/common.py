@@ -22,8 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -97,7 +97,7 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~_IS_SPACE[buf]
+    word = ~IS_SPACE[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()

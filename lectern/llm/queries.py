@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+import public_tokenizers
+
+from . import bpe, mixing, repetition
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +19,15 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op9_mix_sources": op9_mix_sources}
-ORACLE = {"op9_mix_sources": mixing.ORACLE}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, bpe.digests, bpe.DIGESTS)
+
+
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
+ORACLE = {"op4_quality_rules": repetition.ORACLE, "op9_mix_sources": mixing.ORACLE}
