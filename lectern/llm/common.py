@@ -48,8 +48,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that a piece holds about `most` bytes of `column` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a piece holds about `most` bytes of `column` and `rows` rows (one row at least)."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -57,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         i = 0
         while i < b.num_rows:
             base = end[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(end, base + most, "right")))
+            j = max(i + 1, min(i + rows, int(np.searchsorted(end, base + most, "right"))))
             yield b.slice(i, j - i)
             i = j
 

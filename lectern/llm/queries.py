@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, mixing, repetition
+from . import bpe, mixing, repetition, setsketch
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,10 +24,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, bpe.digests, bpe.DIGESTS)
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
-ORACLE = {"op4_quality_rules": repetition.ORACLE, "op9_mix_sources": mixing.ORACLE}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
+OP7_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w[1] AS g FROM t WHERE len(w) = 1
+  UNION ALL SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t)
+), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 80 * (x.size + y.size - common)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, edges.b FROM reach JOIN edges ON reach.y = edges.a
+), c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n.size, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+ORACLE = {"op4_quality_rules": repetition.ORACLE, "op7_minhash_near_dedup": OP7_SQL, "op9_mix_sources": mixing.ORACLE}
