@@ -6,6 +6,7 @@ a whole batch come from a few numpy passes, never from a Python loop over words.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,9 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later plans start from there."""
+    """df, written to the shared checkpoint folder: later plans start from there.
+
+    Then a hint to collect garbage, which lets Spark drop the shuffle files of plans that are done.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
