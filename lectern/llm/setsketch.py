@@ -9,12 +9,14 @@ one of its rows; all else works on classes.
 1. Bands of registers put classes into buckets. Every class is compared with one centre,
    the smallest class in any of its buckets: as many pairs as classes.
 2. Confirmed links give components. Buckets whose members fell into several components are
-   compared pair by pair between components, in tiles of bounded size, by the likelihood of
-   the registers given the set sizes; the pairs that may reach the threshold are confirmed too.
+   looked at again, in tiles of bounded size: pairs between components are estimated by the
+   likelihood of the registers given the set sizes, each pair in the first bucket that it
+   shares; those that may reach the threshold are confirmed on the full sets within the tile.
+   A tile returns one link for each component that it joins to another, not its pairs.
    So a link is only lost if its documents share no bucket (at the threshold: (1 - 0.8^5)^32,
-   two in a million) or by registers more than 5 standard errors off.
+   two in a million) or by registers 5 standard errors off.
 
-Links are confirmed on the full sets, from the texts.
+Links are confirmed on the full sets, from the whole texts.
 
 Cases: null, empty or wordless texts have empty sets, link with nothing and are kept; texts with
 fewer words than a shingle have one, of all their words; equal rows form a class and share
@@ -126,7 +128,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             regs = registers(keys, rows)
             bands = np.zeros((rows, BANDS), np.uint64)
             for k in range(WIDTH):
-                bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + regs[:, k::WIDTH].astype(np.uint64) + np.uint64(1))
+                bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + regs.reshape(rows, BANDS, WIDTH)[:, :, k].astype(np.uint64) + np.uint64(1))
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -155,40 +157,78 @@ def confirm(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _between_components(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one tile but different components that may be alike enough.
-
-    members: tile (a key), side (0, 1, or 2 where both), node, component, size, regs.
+def _joined(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest label reachable from every label, by links a[i] - b[i]."""
+    while True:
+        new = lab.copy()
+        np.minimum.at(new, a, lab[b])
+        np.minimum.at(new, b, lab[a])
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def _tile_links(sets: list[np.ndarray], node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, band: int, regs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) of nodes that join the components of one tile as its confirmed pairs do."""
+    names, c = np.unique(comp, return_inverse=True)
+    i, j = np.triu_indices(len(node), 1)
+    fits = (c[i] != c[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+    i, j = i[fits], j[fits]
+    able = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 8192):
+        a, b = i[lo : lo + 8192], j[lo : lo + 8192]
+        same = (regs[a] == regs[b]).reshape(len(a), BANDS, WIDTH).all(2)
+        here = np.flatnonzero(same.argmax(1) == band)
+        able[lo + here[likely(regs[a[here]], regs[b[here]], size[a[here]], size[b[here]], percent)]] = True
+    i, j = i[able], j[able]
+    if not len(i):
+        return names[:0], names[:0]
+    # Sets as rows of bits; elements of one set alone are in no intersection.
+    used = np.unique(np.concatenate((i, j)))
+    elements, count = np.unique(np.concatenate([sets[k] for k in used]), return_counts=True)
+    elements = elements[count > 1]
+    width = -(-len(elements) // 64)
+    bits = np.zeros((len(node), max(1, width) * 64), bool)
+    for k in used:
+        found = np.isin(sets[k], elements, assume_unique=True)
+        bits[k, np.searchsorted(elements, sets[k][found])] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    ok = np.zeros(len(i), bool)
+    step = max(1, (1 << 20) // bits.shape[1])
+    for lo in range(0, len(i), step):
+        a, b = i[lo : lo + step], j[lo : lo + step]
+        shared = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)
+        ok[lo : lo + step] = 100 * shared >= percent * (size[a] + size[b] - shared)
+    root = _joined(np.arange(len(names)), c[i[ok]], c[j[ok]])
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _between_components(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between components, enough to join those that pairs of one tile join.
+
+    members: tile (a key), band, side (0, 1, or 2 where both), node, component, size, regs, text.
     """
 
     def compare(held: pa.Table) -> pa.RecordBatch:
-        t = held.combine_chunks()
-        tile, node, comp, size, side = (t[c].to_numpy() for c in ("tile", "node", "component", "size", "side"))
-        regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        us, vs, k = [], [], 1
-        at = np.arange(len(tile) - 1)
-        while len(at):
-            at = at[at + k < len(tile)]
-            at = at[tile[at] == tile[at + k]]
-            i, j = at, at + k
-            fits = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-            i, j = i[fits], j[fits]
-            for lo in range(0, len(i), 4096):
-                a, b = i[lo : lo + 4096], j[lo : lo + 4096]
-                ok = likely(regs[a], regs[b], size[a], size[b], percent)
-                us.append(node[a[ok]])
-                vs.append(node[b[ok]])
-            k += 1
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+        sets = []
+        for b in slices(iter(held.combine_chunks().to_batches()), "text", 2 << 20):
+            keys = shingle_sets(*flat(b["text"]), words)
+            at = np.searchsorted(keys, np.arange(b.num_rows + 1, dtype=np.uint64) << np.uint64(48))
+            keys &= np.uint64((1 << 48) - 1)
+            sets += [keys[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        tile, node, comp, size, side, band = (held[c].to_numpy() for c in ("tile", "node", "component", "size", "side", "band"))
+        regs = np.frombuffer(b"".join(held["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        cuts = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
+        found = [_tile_links(sets[x:y], node[x:y], comp[x:y], size[x:y], side[x:y], int(band[x]), regs[x:y], percent) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in batches:
+        for b in slices(batches, "text", 4 << 20):
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 4096:
-                continue
             tile = held["tile"].to_numpy()
             earlier = np.flatnonzero(tile != tile[-1])
             if len(earlier):
@@ -197,8 +237,8 @@ def _between_components(members: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield compare(held)
 
-    dealt = members.repartition("tile").sortWithinPartitions("tile")
-    return dealt.select("tile", "side", "node", "component", "size", "regs").mapInArrow(run, "u long, v long").distinct()
+    cols = ("tile", "band", "side", "node", "component", "size", "regs", "text")
+    return members.select(*cols).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long").distinct()
 
 
 def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -221,30 +261,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ids = sketched.select("doc_id", "n_shingles", "set_hash")
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumnRenamed("set_hash", "node")
     classes = cut(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("regs").alias("regs")))
-    banded = classes.select("node", "rep", F.explode("bands").alias("bucket"))
+    banded = classes.select("node", "rep", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     member = cut(banded.join(shared, "bucket"))
 
     centred = member.groupBy("node", "rep").agg(F.min("centre").alias("centre"))
     texts = cut(_texts(docs, centred.select("node", "rep"), ids, words))
 
-    def checked(found: DataFrame) -> DataFrame:
-        left = found.join(texts.withColumnsRenamed({"node": "u", "text": "text_u"}), "u")
-        return cut(confirm(left.join(texts.withColumnsRenamed({"node": "v", "text": "text_v"}), "v"), words, percent))
-
-    first = checked(centred.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")))
+    found = centred.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
+    found = found.join(texts.withColumnsRenamed({"node": "v", "text": "text_v"}), "v").join(texts.withColumnsRenamed({"node": "u", "text": "text_u"}), "u")
+    first = cut(confirm(found, words, percent))
     label = connected(first)
 
-    placed = member.select("bucket", "node", "members").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = member.select("bucket", "band", "node", "members").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = cut(placed)
     torn = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    rest = placed.join(torn, "bucket").join(classes.select("node", "size", "regs"), "node")
+    rest = placed.join(torn, "bucket").join(classes.select("node", "size", "regs"), "node").join(texts, "node")
     # A bucket of m members becomes a triangle of tiles, each with the members of one or two of its m / TILE slices.
     slices_ = F.ceil(F.col("members") / TILE).cast("int")
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), slices_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices_ - 1)))
     tile = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    second = checked(_between_components(rest.select(tile.alias("tile"), side.cast("long").alias("side"), "node", "component", "size", "regs"), percent))
+    second = cut(_between_components(rest.withColumn("tile", tile).withColumn("side", side.cast("long")), words, percent))
     final = connected(first.unionByName(second)) if second.limit(1).count() else label
 
     placed = classes.select("node", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
