@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, mixing, repetition, setsketch, suffixes
+from . import bpe, lattice, mixing, repetition, setsketch, suffixes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -19,6 +19,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, bpe.digests, bpe.DIGESTS)
 
 
-QUERIES = {"op2_suffix_array_dedup": op2_suffix_array_dedup, "op4_quality_rules": op4_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
+QUERIES = {"op1_lattice_near_dedup": op1_lattice_near_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup, "op4_quality_rules": op4_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
 OP7_SQL = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -54,4 +58,4 @@ WITH RECURSIVE t AS (
 ), c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n.size, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
-ORACLE = {"op2_suffix_array_dedup": suffixes.ORACLE, "op4_quality_rules": repetition.ORACLE, "op7_minhash_near_dedup": OP7_SQL, "op9_mix_sources": mixing.ORACLE}
+ORACLE = {"op1_lattice_near_dedup": lattice.ORACLE, "op2_suffix_array_dedup": suffixes.ORACLE, "op4_quality_rules": repetition.ORACLE, "op7_minhash_near_dedup": OP7_SQL, "op9_mix_sources": mixing.ORACLE}
