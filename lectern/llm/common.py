@@ -38,16 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later plans start from there.
+def release(spark: SparkSession) -> None:
+    """A hint to collect garbage, which lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Then a hint to collect garbage, which lets Spark drop the shuffle files of plans that are done.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder: later plans start from there."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    release(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, binary_column, cut, flat, mix, slices, span_hashes, text_columns
+from .common import _power_tables, binary_column, cut, flat, mix, release, slices, span_hashes, text_columns
 
 SPAN, GRAM = 50, 19
 WINDOW = SPAN - GRAM + 1
 SHALLOW = 32
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 HOT = 20_000
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -68,10 +68,10 @@ def _winnow(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         width *= 2
     if width < WINDOW:
         least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
-    step = np.zeros(n + 1, np.int64)
+    step = np.zeros(n + 1, np.int32)
     np.add.at(step, off[:-1], 1)
     np.add.at(step, np.maximum(off[:-1], off[1:] - SPAN + 1), -1)
-    valid = np.cumsum(step)[: len(least)] > 0
+    valid = np.cumsum(step, dtype=np.int32)[: len(least)] > 0
     at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     change = np.ones(len(at) + 1, bool)
     change[1:-1] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
@@ -393,7 +393,7 @@ def _covered(k: Block, keys: np.ndarray, say: np.ndarray, late_keys: np.ndarray,
     np.bitwise_or.at(bits, entry[known], np.uint32(1) << number[known].astype(np.uint32))
     own = np.searchsorted(k.keys, k.runs.key)
     whole = all_[own] | (k.ids[k.runs.row] > k.first_doc[own])
-    step = np.zeros(len(k.buf) + 1, np.int64)
+    step = np.zeros(len(k.buf) + 1, np.int32)
     np.add.at(step, k.runs.first[whole], 1)
     np.add.at(step, k.runs.last[whole] + SPAN, -1)
     part = np.flatnonzero(~whole & (bits[own] > 0))
@@ -401,7 +401,7 @@ def _covered(k: Block, keys: np.ndarray, say: np.ndarray, late_keys: np.ndarray,
         on = part[(bits[own[part]] >> np.uint32(i)) & np.uint32(1) > 0]
         np.add.at(step, k.runs.first[on] + i, 1)
         np.add.at(step, k.runs.first[on] + i + SPAN, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
 def whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -465,6 +465,7 @@ def remove_repeats(docs: DataFrame, *carry: str, texts: bool = False, block: int
     buckets = max(64, 2 * size // (4 << 20))
     told = _resolve(blocks, buckets, hot)
     late = _resolve_rest(blocks, told, buckets)
+    release(docs.sparkSession)
     heard = told.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     fields = [f"keep_{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
     last = "kept_text string" if texts else "kept_sha256 string"
