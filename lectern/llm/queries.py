@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, importance, lattice, mixing, packing, repetition, setsketch, suffixes
+from . import bpe, importance, lattice, mixing, packing, repetition, setsketch, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -41,6 +41,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, bpe.digests, bpe.DIGESTS)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
 
@@ -49,7 +53,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op6_pack_tokens": op6_pack_tokens, "op10_importance_resampling": op10_importance_resampling, "op1_lattice_near_dedup": op1_lattice_near_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup, "op4_quality_rules": op4_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
+QUERIES = {"op5_toxicity": op5_toxicity, "op6_pack_tokens": op6_pack_tokens, "op10_importance_resampling": op10_importance_resampling, "op1_lattice_near_dedup": op1_lattice_near_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup, "op4_quality_rules": op4_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
 OP7_SQL = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
