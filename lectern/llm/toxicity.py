@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, flat, mix, slices, span_hashes, text_columns
 
 WINDOW, STEP = 32, 16
-SAMPLE, TRAIN_WINDOWS, EPOCHS, BATCH = 1500, 32, 4, 48
-WORDS, GRAMS, WIDTH, HIDDEN, ATTENTION = 1 << 13, 1 << 15, 8, 8, 8
+SAMPLE, TRAIN_WINDOWS, EPOCHS, BATCH = 1500, 32, 5, 48
+WORDS, GRAMS, WIDTH, HIDDEN, ATTENTION = 1 << 17, 1 << 17, 8, 8, 8
 THRESHOLD = 0.7
 
 _LETTER = np.zeros(256, bool)
@@ -96,7 +96,7 @@ class Words:
 
 def _fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
     normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-    p = {"words": normal(WORDS, WIDTH, scale=0.3), "grams": normal(GRAMS, WIDTH, scale=0.6)}
+    p = {"words": normal(WORDS, WIDTH, scale=0.02), "grams": normal(GRAMS, WIDTH, scale=0.02)}
     for d in "fb":
         p |= {f"W{d}": normal(2 * WIDTH, 3 * HIDDEN, scale=0.4), f"U{d}": normal(HIDDEN, 3 * HIDDEN, scale=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
     return p | {"A": normal(2 * HIDDEN, ATTENTION, scale=0.4), "a": np.zeros(ATTENTION, np.float32), "v": normal(ATTENTION, scale=0.4), "w": normal(2 * HIDDEN, scale=0.4), "o": np.full(1, -2, np.float32)}
