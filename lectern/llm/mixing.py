@@ -25,9 +25,9 @@ BINS = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of every document."""
+    """doc_id, source, number of words and a hash of all columns (row_hash) of every document."""
     words = F.regexp_count(F.col("text").cast("string"), F.lit(WORD))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), F.xxhash64(*docs.columns).alias("row_hash"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
+    """doc_id, source, size, row_hash, source_size, target, copies, taken for every row of docs."""
     sized = cut(sizes(docs))
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     mean = float(total) / n if n else 1.0
@@ -77,7 +77,17 @@ def mix(docs: DataFrame) -> DataFrame:
     drawn = 2 * F.col("ahead") + F.col("size") <= 2 * F.col("missing")
     copies = (F.col("whole") + F.when(drawn, 1).otherwise(0)).cast("long")
     copies = F.least(copies, F.lit(MAX_REPEATS))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "source", "size", "row_hash", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def repeat(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    plan = cut(mix(docs).groupBy("row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
+    keyed = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
+    if plan.where("rows > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["row_hash"])  # equal rows: one stands for all, with the copies of all
+    taken = plan.where("copies > 0").select("row_hash", F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias("times"))
+    return keyed.join(taken, "row_hash").withColumn("times", F.explode("times")).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, importance, lattice, mixing, packing, repetition, setsketch, suffixes, toxicity
+from . import bpe, importance, lattice, licenses, mixing, packing, repetition, setsketch, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,6 +27,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.with_paths(_table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,7 +57,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op6_pack_tokens": op6_pack_tokens, "op10_importance_resampling": op10_importance_resampling, "op1_lattice_near_dedup": op1_lattice_near_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup, "op4_quality_rules": op4_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
+QUERIES = {"op3_license_scan": op3_license_scan, "op5_toxicity": op5_toxicity, "op6_pack_tokens": op6_pack_tokens, "op10_importance_resampling": op10_importance_resampling, "op1_lattice_near_dedup": op1_lattice_near_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup, "op4_quality_rules": op4_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_mix_sources": op9_mix_sources}
 OP7_SQL = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -70,4 +74,4 @@ WITH RECURSIVE t AS (
 ), c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n.size, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
-ORACLE = {"op1_lattice_near_dedup": lattice.ORACLE, "op2_suffix_array_dedup": suffixes.ORACLE, "op4_quality_rules": repetition.ORACLE, "op7_minhash_near_dedup": OP7_SQL, "op9_mix_sources": mixing.ORACLE}
+ORACLE = {"op3_license_scan": licenses.ORACLE, "op1_lattice_near_dedup": lattice.ORACLE, "op2_suffix_array_dedup": suffixes.ORACLE, "op4_quality_rules": repetition.ORACLE, "op7_minhash_near_dedup": OP7_SQL, "op9_mix_sources": mixing.ORACLE}
