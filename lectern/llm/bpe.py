@@ -48,7 +48,7 @@ MARGIN = 4
 class Codec(dict):
     """The ids of every pre-token met so far; unknown ones are encoded when first asked for."""
 
-    most = 300_000
+    most = 200_000
 
     def __init__(self, path: str, pattern: str):
         import regex

@@ -56,7 +56,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that a piece holds about `most` bytes of `column` and `rows` rows (one row at least)."""
     for b in batches:
         if not b.num_rows:
@@ -68,6 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20,
             j = max(i + 1, min(i + rows, int(np.searchsorted(end, base + most, "right"))))
             yield b.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()
 
 
 def _strings(col: pa.Array) -> pa.Array:

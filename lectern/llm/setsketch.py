@@ -146,7 +146,7 @@ def confirm(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """u, v of the rows (u, v, text_u, text_v) whose full sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(slices(batches, "text_u", 2 << 20), "text_v", 2 << 20):
+        for b in slices(slices(batches, "text_u"), "text_v"):
             mine, other = (shingle_sets(*flat(b[c]), words) for c in ("text_u", "text_v"))
             row = lambda k: np.bincount((k >> np.uint64(48)).astype(np.int64), minlength=b.num_rows)
             both = np.sort(np.concatenate((mine, other)))
@@ -213,7 +213,7 @@ def _between_components(members: DataFrame, words: int, percent: int) -> DataFra
 
     def compare(held: pa.Table) -> pa.RecordBatch:
         sets = []
-        for b in slices(iter(held.combine_chunks().to_batches()), "text", 2 << 20):
+        for b in slices(iter(held.combine_chunks().to_batches()), "text"):
             keys = shingle_sets(*flat(b["text"]), words)
             at = np.searchsorted(keys, np.arange(b.num_rows + 1, dtype=np.uint64) << np.uint64(48))
             keys &= np.uint64((1 << 48) - 1)
@@ -226,7 +226,7 @@ def _between_components(members: DataFrame, words: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
             tile = held["tile"].to_numpy()

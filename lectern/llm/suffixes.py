@@ -83,7 +83,7 @@ def _winnow(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, place, np.searchsorted(off, first, "right") - 1, anchor, context
 
 
-def runs_of(buf: np.ndarray, off: np.ndarray, piece: int = 2 << 20) -> Runs:
+def runs_of(buf: np.ndarray, off: np.ndarray, piece: int = 1 << 20) -> Runs:
     """The runs of all rows, in order; worked out piece by piece to bound memory."""
     found, i, rows = [], 0, len(off) - 1
     while i < rows:
