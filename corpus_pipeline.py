@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from lectern.llm import bpe, mixing, repetition, setsketch, suffixes
 from lectern.llm.common import scratch_path
 from lectern.llm.queries import VOCABULARY
+from lectern.shipping import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
+    ship(spark)
     rest = [c for c in docs.columns if c != "doc_id"]
     judged = repetition.judge(docs, *rest).where("kept")
     return judged.select("doc_id", *(F.col(f"keep_{c}").alias(c) for c in rest)).select(*docs.columns)
