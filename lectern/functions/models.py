@@ -46,12 +46,12 @@ def hashed_words(dim: int = schema.EMBED_DIM) -> Encoder:
     return encode
 
 
-def embedder(make: Callable[[], Encoder] = hashed_words, dim: int = schema.EMBED_DIM, batch: int = 32, prefix: str = "") -> Callable[[Column], Column]:
+def embedder(make: Callable[[], Encoder] | None = None, dim: int = schema.EMBED_DIM, batch: int = 32, prefix: str = "") -> Callable[[Column], Column]:
     """A vector column expression; `make` runs once a worker, and its vectors must have length dim."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = make()
+        encode = make() if make else hashed_words(dim)
         for s in parts:
             texts = [prefix + (t or "") for t in s]
             rows: list[np.ndarray] = []

@@ -33,18 +33,17 @@ def ingest(spark: SparkSession, root: str, tables: str, course: str | None = Non
     if same is not None:
         status = status.unionByName(said(same, F.concat(F.lit("same bytes already ingested as "), "known_as")))
     status = spark.createDataFrame(status.orderBy("rel_path").collect(), "rel_path string, status string, detail string")  # one row a file
-    if not dry_run:
-        now = F.current_timestamp()
+    decks = texts.where("doc_type = 'slides'")
+    touched = [] if dry_run else sorted(r[0] for r in decks.select("course").distinct().collect())
+    if touched:
+        now, own = F.current_timestamp(), F.col("course").isin(touched)
         # The document's own lecture is read with the footer still in place.
         first = slides.lectures(slides.with_sections(slides.parse(files.pages(texts).where("page = 1"), None)))
-        decks = texts.where("doc_type = 'slides'").join(first, "document_id", "left")
-        new_docs = decks.select(F.col("document_id").alias("id"), "course", "doc_path", "content_hash", "doc_type", "lecture", now.alias("ingested_at"), now.alias("updated_at"))
+        new_docs = decks.join(first, "document_id", "left").select(F.col("document_id").alias("id"), "course", "doc_path", "content_hash", "doc_type", "lecture", now.alias("ingested_at"), now.alias("updated_at"))
         vectors = (embed or models.embedder(dim=dim))(text.breadcrumb(F.col("course"), F.col("lecture"), F.col("section"), F.col("content")))
         new_chunks = cut.withColumn("embedding", vectors).withColumn("embed_model", F.lit(model)).withColumn("created_at", now).withColumn("updated_at", now)
-        all_chunks = store.replace_chunks(chunks, store.checked(new_chunks, dim), decks)
-        all_docs = store.upsert_documents(documents, new_docs)
-        store.replace_table(all_chunks, f"{tables}/chunks")
-        store.replace_table(all_docs, f"{tables}/documents")
+        store.replace_courses(store.replace_chunks(chunks.where(own), store.checked(new_chunks, dim), decks), f"{tables}/chunks", touched)
+        store.replace_courses(store.upsert_documents(documents.where(own), new_docs), f"{tables}/documents", touched)
     cut.unpersist()
     texts.unpersist()
     return status

@@ -1,7 +1,7 @@
 """The two tables as Parquet folders, and what an ingest does to them.
 
-Tables are replaced as a whole per course: the new rows are written beside the old ones and
-take their place when they are complete, so a failed run leaves the old state.
+Tables are partitioned by course, and replaced course by course: the new rows are written beside
+the old ones and take their place when they are complete, so a failed run leaves the old state.
 """
 
 from __future__ import annotations
@@ -24,18 +24,26 @@ def read(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
     return spark.read.schema(fields).parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write df to a folder of its own, then rename it into place."""
+def replace_courses(df: DataFrame, path: str, courses: list[str]) -> None:
+    """Write df, which holds all rows of these courses, to a folder of its own, then put it in the place of the courses' old rows.
+
+    Other courses are neither read nor written.
+    """
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.partitionBy("course").parquet(fresh)
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, hadoop.Path(old))
-    fs.rename(hadoop.Path(fresh), target)
+    df.where(F.col("course").isin(courses)).write.partitionBy("course").parquet(fresh)
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(path))
+    fs.mkdirs(hadoop.Path(old))
+    written = [f.getPath().getName() for f in fs.listStatus(hadoop.Path(fresh)) if f.isDirectory()]
+    for name in written:
+        if fs.exists(hadoop.Path(path, name)):
+            fs.rename(hadoop.Path(path, name), hadoop.Path(old, name))
+        fs.rename(hadoop.Path(fresh, name), hadoop.Path(path, name))
     fs.delete(hadoop.Path(old), True)
+    fs.delete(hadoop.Path(fresh), True)
+    spark.catalog.refreshByPath(path)
 
 
 def checked(chunks: DataFrame, dim: int = schema.EMBED_DIM) -> DataFrame:
