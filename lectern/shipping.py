@@ -1,4 +1,4 @@
-"""The library's own code for the workers of a session that cannot import it."""
+"""What a session needs before it runs the library: its code on the workers, and small Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Bytes of a batch between Spark and a Python worker; by rows alone, a batch of long texts could fill the memory of both.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to all workers, once an application; Spark serves the file to every executor."""
-    sc = spark.sparkContext
+    sc, given = spark.sparkContext, spark.conf.getAll
+    for key, value in BATCH.items():
+        if key not in given:
+            spark.conf.set(key, value)
     if sc.applicationId in _sent:
         return
     package = Path(__file__).resolve().parent
