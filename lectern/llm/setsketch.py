@@ -176,8 +176,8 @@ def _tile_links(sets: list[np.ndarray], node: np.ndarray, comp: np.ndarray, size
     fits = (c[i] != c[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
     i, j = i[fits], j[fits]
     able = np.zeros(len(i), bool)
-    for lo in range(0, len(i), 8192):
-        a, b = i[lo : lo + 8192], j[lo : lo + 8192]
+    for lo in range(0, len(i), 1024):
+        a, b = i[lo : lo + 1024], j[lo : lo + 1024]
         same = (regs[a] == regs[b]).reshape(len(a), BANDS, WIDTH).all(2)
         here = np.flatnonzero(same.argmax(1) == band)
         able[lo + here[likely(regs[a[here]], regs[b[here]], size[a[here]], size[b[here]], percent)]] = True
