@@ -44,11 +44,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later plans start from there."""
+def gathered(df: DataFrame, rows: int, per: int = 100_000) -> DataFrame:
+    """df in no more partitions than `rows` rows need, `per` rows each, and twice the cores of the cluster at least.
+
+    Without it, a small table is written as a file for each of hundreds of shuffle partitions.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // per)))
+
+
+def cut(df: DataFrame, rows: int | None = None, per: int = 100_000) -> DataFrame:
+    """df, written to the shared checkpoint folder: later plans start from there. rows: a bound of its rows, for gathered()."""
     shared_dir(df.sparkSession)
     release(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else gathered(df, rows, per)).checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

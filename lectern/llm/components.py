@@ -13,15 +13,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of an edge; edges: (u, v) longs.
+def connected(edges: DataFrame, rows: int) -> DataFrame:
+    """node, component (the smallest node reachable) for every node of an edge; edges: (u, v) longs, at most `rows`.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step is an
     aggregation and an equi-join, and the edges never outgrow the input. Rounds are few, as
     they grow with the logarithm of a component's size. Each round is cut to the shared
     checkpoint folder. Only a count and a checksum reach the driver. No edges: no rows.
     """
-    edges = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +30,7 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = linked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        edges = cut(small, 2 * before[0])
         after = _mark(edges)
         if after == before:
             break

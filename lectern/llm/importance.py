@@ -116,8 +116,9 @@ def largest(scored: DataFrame, k: int, ranked: int = RANKED) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """doc_id, log_weight, key, kept for every row of docs. keep: the share to draw; by default that of good rows in labels."""
     ratios = log_ratios(docs, target_ids(labels, target_rows))
-    scored = cut(score(docs, ratios))
+    rows = docs.count()
+    scored = cut(score(docs, ratios), rows, 5_000)
     if keep is None:
         good, judged = labels.where("quality IS NOT NULL").agg(F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)), F.count("*")).first()
         keep = good / judged if judged else 1.0
-    return largest(scored, round(keep * scored.count()))
+    return largest(scored, round(keep * rows))

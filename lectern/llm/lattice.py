@@ -189,7 +189,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["node"], b["copies"], b["rep"], pa.array(vec, pa.binary()), pa.array(keys, pa.binary()), pa.array(cell, pa.list_(pa.int64()))], names=["node", "copies", "rep", "vec", "keys", "cells"])
 
     classes = rows.where("x IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = cut(classes.mapInArrow(hashed, "node long, copies long, rep long, vec binary, keys binary, cells array<long>"))
+    total = vectors.count()
+    classes = cut(classes.mapInArrow(hashed, "node long, copies long, rep long, vec binary, keys binary, cells array<long>"), total, 20_000)
     placed = classes.select("node", F.explode(F.array_distinct("cells")).alias("cell"))
     full = placed.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
     n = F.ceil(F.col("members") / TILE).cast("int")
@@ -197,10 +198,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     tile = F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("long")
     members = placed.select(tile.alias("tile"), "cell", side.alias("side"), "node").join(classes.drop("cells", "rep"), "node")
-    found = cut(_compare(members, cosine))
+    found = cut(_compare(members, cosine), 4 * TABLES * total)
 
     links = found.where("u = v").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "node")
-    label = connected(found.where("u != v").select("u", "v"))
+    label = connected(found.where("u != v").select("u", "v"), 2 * TABLES * total)
     named = classes.select("node", "copies", "rep").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("found"))
     named = named.join(least, "component").join(links, "node", "left").select("node", "copies", "found", F.coalesce("links", F.lit(0)).alias("links"))

@@ -100,11 +100,12 @@ def scan(files: DataFrame) -> DataFrame:
     lines = F.when(text.rlike(f"(?i){ANCHOR}"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"(?i){ANCHOR}"))).otherwise(F.array().cast("array<string>"))
     parent = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).when(path.isNotNull(), F.lit("."))
     slim = files.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.xxhash64("doc_id", "path", "text").alias("k"), parent.alias("dir"), lines.alias("lines"))
-    slim = cut(slim)
+    rows = files.count()
+    slim = cut(slim, rows, 5_000)
     held = slim.where(F.size("lines") > 0).select("k", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     best = held.join(score_lines(held), "line").groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     own = slim.drop("lines").join(best, "k", "left").select("doc_id", "path", "dir", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
-    own = cut(own)
+    own = cut(own, rows)
 
     speaking = own.where(F.col("own_license").isNotNull() & F.col("path").rlike(FILE)).groupBy(F.col("dir").alias("license_dir")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("b"))
     speaking = speaking.select("license_dir", F.col("b.own_license").alias("found"))

@@ -53,7 +53,8 @@ def targets(sized: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, row_hash, source_size, target, copies, taken for every row of docs."""
-    sized = cut(sizes(docs))
+    rows = docs.count()
+    sized = cut(sizes(docs), rows, 5_000)
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     mean = float(total) / n if n else 1.0
     goal = targets(sized).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -82,7 +83,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def repeat(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    plan = cut(mix(docs).groupBy("row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
+    plan = cut(mix(docs).groupBy("row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), docs.count())
     keyed = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
     if plan.where("rows > 1").limit(1).count():
         keyed = keyed.dropDuplicates(["row_hash"])  # equal rows: one stands for all, with the copies of all

@@ -257,24 +257,25 @@ def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> D
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for every row of docs."""
-    sketched = cut(sketch(docs, words))
+    n = docs.count()
+    sketched = cut(sketch(docs, words), n, 5_000)
     ids = sketched.select("doc_id", "n_shingles", "set_hash")
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumnRenamed("set_hash", "node")
-    classes = cut(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("regs").alias("regs")))
+    classes = cut(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("regs").alias("regs")), n, 20_000)
     banded = classes.select("node", "rep", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    member = cut(banded.join(shared, "bucket"))
+    member = cut(banded.join(shared, "bucket"), BANDS * n)
 
     centred = member.groupBy("node", "rep").agg(F.min("centre").alias("centre"))
-    texts = cut(_texts(docs, centred.select("node", "rep"), ids, words))
+    texts = cut(_texts(docs, centred.select("node", "rep"), ids, words), n, 5_000)
 
     found = centred.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
     found = found.join(texts.withColumnsRenamed({"node": "v", "text": "text_v"}), "v").join(texts.withColumnsRenamed({"node": "u", "text": "text_u"}), "u")
-    first = cut(confirm(found, words, percent))
-    label = connected(first)
+    first = cut(confirm(found, words, percent), n, 5_000)
+    label = connected(first, n)
 
     placed = member.select("bucket", "band", "node", "members").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = cut(placed)
+    placed = cut(placed, BANDS * n)
     torn = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
     rest = placed.join(torn, "bucket").join(classes.select("node", "size", "regs"), "node").join(texts, "node")
     # A bucket of m members becomes a triangle of tiles, each with the members of one or two of its m / TILE slices.
@@ -282,8 +283,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), slices_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices_ - 1)))
     tile = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    second = cut(_between_components(rest.withColumn("tile", tile).withColumn("side", side.cast("long")), words, percent))
-    final = connected(first.unionByName(second)) if second.limit(1).count() else label
+    second = cut(_between_components(rest.withColumn("tile", tile).withColumn("side", side.cast("long")), words, percent), BANDS * n)
+    more = second.count()
+    final = connected(first.unionByName(second), n + more) if more else label
 
     placed = classes.select("node", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("found"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, binary_column, cut, flat, mix, release, slices, span_hashes, text_columns
+from .common import _power_tables, binary_column, cut, flat, gathered, mix, release, slices, span_hashes, text_columns
 
 SPAN, GRAM = 50, 19
 WINDOW = SPAN - GRAM + 1
@@ -252,7 +252,8 @@ def _pack(docs: DataFrame, carry: tuple[str, ...], most: int) -> DataFrame:
     cols = [F.col(c).alias(f"keep_{c}") for c in carry]
     schema = "block long, ids binary, off binary, data binary, more binary"
     carry = tuple(f"keep_{c}" for c in carry)
-    return text_columns(docs, *cols).where("doc_id IS NOT NULL").mapInArrow(run, schema)
+    # Few partitions make whole blocks of small tables too.
+    return gathered(text_columns(docs, *cols).where("doc_id IS NOT NULL"), docs.count(), 5_000).mapInArrow(run, schema)
 
 
 def _dealt(bucket: np.ndarray, n: int, columns: list[Callable[[np.ndarray], list]]) -> dict:
@@ -444,14 +445,14 @@ def _finish(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _resolve(blocks: DataFrame, buckets: int, hot: int) -> DataFrame:
     news = "block long, keys binary, bits binary"
-    return cut(_anchors(blocks, buckets).groupBy("bucket").applyInArrow(_judge_anchors(hot), news))
+    return cut(_anchors(blocks, buckets).groupBy("bucket").applyInArrow(_judge_anchors(hot), news), buckets, 8)
 
 
 def _resolve_rest(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
     sent = "bucket long, block long, keys binary, docs binary, shift binary, strings binary, text binary"
     texts = blocks.select("block", "ids", "off", "data")
     contexts = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_contexts(buckets), sent)
-    return cut(contexts.groupBy("bucket").applyInArrow(_sort_contexts, "block long, keys binary, bits binary"))
+    return cut(contexts.groupBy("bucket").applyInArrow(_sort_contexts, "block long, keys binary, bits binary"), buckets, 8)
 
 
 def remove_repeats(docs: DataFrame, *carry: str, texts: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:

@@ -92,7 +92,7 @@ def test_connected(spark):
     for u, v in edges:
         a, b = find(u), find(v)
         root[max(a, b)] = min(a, b)
-    got = {r[0]: r[1] for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r[0]: r[1] for r in components.connected(spark.createDataFrame(edges, "u long, v long"), len(edges)).collect()}
     linked = {x for u, v in edges if u != v for x in (u, v)}
     assert got == {x: find(x) for x in linked}
-    assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components.connected(spark.createDataFrame([], "u long, v long"), 0).count() == 0
