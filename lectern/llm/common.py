@@ -152,8 +152,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span of bytes, alike wherever the span stands."""
+def _span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(buf)
     up, down = _power_tables(n)
     total = np.zeros(n + 1, np.uint64)
@@ -161,6 +160,25 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of every span of bytes, alike wherever the span stands.
+
+    Long buffers are gone through piece by piece, so that memory follows the piece and the longest span.
+    """
+    if len(buf) <= 2 * piece or not len(start):
+        return _span_hashes(buf, start, end)
+    order = np.argsort(start, kind="stable")
+    out, first = np.empty(len(start), np.uint64), start[order]
+    i = 0
+    while i < len(order):
+        j = int(np.searchsorted(first, first[i] + piece))
+        these = order[i:j]
+        lo, hi = int(first[i]), int(end[these].max())
+        out[these] = _span_hashes(buf[lo:hi], start[these] - lo, end[these] - lo)
+        i = j
+    return out
+
+
 def ngrams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word windows that lie within one row, and the row of each.
 

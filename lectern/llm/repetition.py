@@ -53,7 +53,7 @@ def suffix_array(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, lis
     rank = np.full(n + 1, -1, np.int64)
     place = np.arange(n)
     rank[order] = heads(key[order], place)
-    levels, h, end = [rank.copy()], 1, counts[1:][row]
+    levels, h, end = [rank.astype(np.int32)], 1, counts[1:][row]
     while True:
         at = rank[order]
         tied = np.zeros(n, bool)
@@ -70,7 +70,7 @@ def suffix_array(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, lis
         o = np.argsort(key, kind="stable")
         order[where] = sub[o]
         rank[sub[o]] = heads(key[o], where)
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))
         h *= 2
 
 

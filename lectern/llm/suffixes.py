@@ -86,11 +86,20 @@ def _winnow(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 def runs_of(buf: np.ndarray, off: np.ndarray, piece: int = 1 << 20) -> Runs:
     """The runs of all rows, in order; worked out piece by piece to bound memory."""
     found, i, rows = [], 0, len(off) - 1
+
+    def add(lo: int, at: np.ndarray, row: int) -> None:
+        f, l, p, r, a, c = _winnow(buf[lo : lo + at[-1]], at)
+        found.append((f + lo, l + lo, p + lo, r + row, a, c))
+
     while i < rows:
         j = max(i + 1, int(np.searchsorted(off, off[i] + piece, "right")) - 1)
-        if off[j] - off[i] >= SPAN:
-            f, l, p, r, a, c = _winnow(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            found.append((f + off[i], l + off[i], p + off[i], r + i, a, c))
+        lo, hi = int(off[i]), int(off[j])
+        if hi - lo > 2 * piece:
+            # One long text: its strings are divided. A run that is cut counts as two, with contexts of their own.
+            for at in range(lo, hi - SPAN + 1, piece):
+                add(at, np.array([0, min(piece + SPAN - 1, hi - at)]), i)
+        elif hi - lo >= SPAN:
+            add(lo, off[i : j + 1] - lo, i)
         i = j
     if not found:
         none = np.zeros(0, np.int64)

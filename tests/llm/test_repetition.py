@@ -45,3 +45,10 @@ def test_verdicts(spark):
     got = {(r["doc_id"], r["base_failed"], r["kept"], r["keep_n_words"]) for r in repetition.judge(docs, "n_words").collect()}
     assert got == {(1, False, True, "a"), (2, True, False, None), (3, True, False, "c"), (4, True, False, "d"), (None, False, True, "e")}
     assert repetition.judge(docs.limit(0)).count() == 0
+
+
+def test_hashes_do_not_hang_on_pieces():
+    text = " ".join(random.Random(1).choice(["a", "bb", "long" * 40]) for _ in range(3000))
+    buf, off = common.flat(pa.array([text]))
+    start, end, _ = common.words_of(buf, off)
+    assert (common.span_hashes(buf, start, end, 256) == common.span_hashes(buf, start, end)).all()

@@ -73,3 +73,22 @@ def test_whole_characters():
     buf = np.frombuffer("aéb漢".encode(), np.uint8)
     gone = np.array([True, True, False, True, True, True, True])
     assert suffixes.whole_characters(buf, gone).tolist() == [True, False, False, True, True, True, True]
+
+
+def anchors(runs):
+    """Anchor of every string by its start."""
+    return {s: (a, p) for f, l, a, p in zip(runs.first.tolist(), runs.last.tolist(), runs.anchor.tolist(), runs.place.tolist()) for s in range(f, l + 1)}
+
+
+def test_runs_do_not_hang_on_pieces():
+    import pyarrow as pa
+
+    from lectern.llm import common
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (30, 49, 50, 51, 400, 3, 0, 900)]
+    buf, off = common.flat(pa.array(texts))
+    whole, cut = suffixes.runs_of(buf, off), suffixes.runs_of(buf, off, piece=70)
+    starts = [int(o) + i for o, t in zip(off, texts) for i in range(len(t) - 49)]
+    assert sorted(anchors(whole)) == starts and anchors(cut) == anchors(whole)
+    assert sum(cut.last - cut.first + 1) == len(starts)
