@@ -130,7 +130,7 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n + 1 of each."""
     have = _powers.get(0)
     if have is None or len(have[0]) <= n:
@@ -154,7 +154,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(buf)
-    up, down = _power_tables(n)
+    up, down = power_tables(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
@@ -195,8 +195,37 @@ def ngrams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, n
     return h[whole], row[:m][whole]
 
 
-def empty_like(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows again, sorted by key as they are, in tables that divide no group of equal keys."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        keys = held[key].to_numpy()
+        earlier = np.flatnonzero(keys != keys[-1])
+        if len(earlier):
+            yield held.slice(0, earlier[-1] + 1)
+            held = held.slice(earlier[-1] + 1)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def group_bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist()
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest label reachable from every label, by links a[i] - b[i]; labels: 0, 1, 2, ..."""
+    while True:
+        new = labels.copy()
+        np.minimum.at(new, a, labels[b])
+        np.minimum.at(new, b, labels[a])
+        new = new[new]
+        if (new == labels).all():
+            return labels
+        labels = new
 
 
 def text_columns(docs: DataFrame, *more: str) -> DataFrame:

@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, group_bounds, joined, mix, whole_groups
 from .components import connected
-from .setsketch import _joined
 
 TABLES, BLOCKS = 8, 2
 #: Length of a unit vector's projection on one block, as a rule: in units in which the lattice's shortest vectors have length sqrt(2).
@@ -124,7 +123,7 @@ def _links(cell: int, side: np.ndarray, node: np.ndarray, copies: np.ndarray, ve
     i, j = i[keep], j[keep]
     n = len(node)
     count = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-    root = _joined(np.arange(n), i, j)
+    root = joined(np.arange(n), i, j)
     moved, some = np.flatnonzero(root != np.arange(n)), np.flatnonzero(count)
     return np.concatenate((node[some], node[moved])), np.concatenate((node[some], node[root[moved]])), np.concatenate((count[some].astype(np.int64), np.zeros(len(moved), np.int64)))
 
@@ -136,9 +135,8 @@ def _compare(members: DataFrame, cosine: float) -> DataFrame:
         t = t.combine_chunks()
         tile, cell, side, node, copies = (t[c].to_numpy() for c in ("tile", "cell", "side", "node", "copies"))
         vec, keys = t["vec"].to_pylist(), t["keys"].to_pylist()
-        cuts = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
         found = [(np.zeros(0, np.int64),) * 3]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in group_bounds(tile):
             if b - a > 1:
                 v = np.frombuffer(b"".join(vec[a:b]), np.float64).reshape(b - a, -1)
                 k = np.frombuffer(b"".join(keys[a:b]), np.uint64).reshape(b - a, TABLES, 2)
@@ -146,15 +144,7 @@ def _compare(members: DataFrame, cosine: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["u", "v", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            tile = held["tile"].to_numpy()
-            earlier = np.flatnonzero(tile != tile[-1])
-            if len(earlier):
-                yield compare(held.slice(0, earlier[-1] + 1))
-                held = held.slice(earlier[-1] + 1)
-        if held is not None and held.num_rows:
+        for held in whole_groups(batches, "tile"):
             yield compare(held)
 
     dealt = members.repartition("tile").sortWithinPartitions("tile")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, flat, mix, ngrams, slices, span_hashes, text_columns, words_of
+from .common import LOWER, cut, flat, group_bounds, joined, mix, ngrams, slices, span_hashes, text_columns, whole_groups, words_of
 from .components import connected
 
 WORDS, PERCENT = 5, 80
@@ -157,18 +157,6 @@ def confirm(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _joined(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest label reachable from every label, by links a[i] - b[i]."""
-    while True:
-        new = lab.copy()
-        np.minimum.at(new, a, lab[b])
-        np.minimum.at(new, b, lab[a])
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def _tile_links(sets: list[np.ndarray], node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, band: int, regs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (u, v) of nodes that join the components of one tile as its confirmed pairs do."""
     names, c = np.unique(comp, return_inverse=True)
@@ -200,7 +188,7 @@ def _tile_links(sets: list[np.ndarray], node: np.ndarray, comp: np.ndarray, size
         a, b = i[lo : lo + step], j[lo : lo + step]
         shared = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)
         ok[lo : lo + step] = 100 * shared >= percent * (size[a] + size[b] - shared)
-    root = _joined(np.arange(len(names)), c[i[ok]], c[j[ok]])
+    root = joined(np.arange(len(names)), c[i[ok]], c[j[ok]])
     moved = np.flatnonzero(root != np.arange(len(names)))
     return names[moved], names[root[moved]]
 
@@ -220,21 +208,11 @@ def _between_components(members: DataFrame, words: int, percent: int) -> DataFra
             sets += [keys[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
         tile, node, comp, size, side, band = (held[c].to_numpy() for c in ("tile", "node", "component", "size", "side", "band"))
         regs = np.frombuffer(b"".join(held["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        cuts = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
-        found = [_tile_links(sets[x:y], node[x:y], comp[x:y], size[x:y], side[x:y], int(band[x]), regs[x:y], percent) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        found = [_tile_links(sets[x:y], node[x:y], comp[x:y], size[x:y], side[x:y], int(band[x]), regs[x:y], percent) for x, y in group_bounds(tile)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in slices(batches, "text", 2 << 20):
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            tile = held["tile"].to_numpy()
-            earlier = np.flatnonzero(tile != tile[-1])
-            if len(earlier):
-                yield compare(held.slice(0, earlier[-1] + 1))
-                held = held.slice(earlier[-1] + 1)
-        if held is not None and held.num_rows:
+        for held in whole_groups(slices(batches, "text"), "tile"):
             yield compare(held)
 
     cols = ("tile", "band", "side", "node", "component", "size", "regs", "text")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, binary_column, cut, flat, gathered, mix, release, slices, span_hashes, text_columns
+from .common import binary_column, cut, flat, gathered, mix, power_tables, release, slices, span_hashes, text_columns
 
 SPAN, GRAM = 50, 19
 WINDOW = SPAN - GRAM + 1
@@ -56,7 +56,7 @@ class Runs:
 
 def _winnow(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(buf)
-    up, down = _power_tables(n)
+    up, down = power_tables(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     gram = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
