@@ -84,13 +84,16 @@ def mix(docs: DataFrame) -> DataFrame:
 def repeat(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     plan = cut(mix(docs).groupBy("row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), docs.count())
-    keyed = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
+    keyed = docs.withColumn(_KEY, F.xxhash64(*docs.columns))
     if plan.where("rows > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["row_hash"])  # equal rows: one stands for all, with the copies of all
-    taken = plan.where("copies > 0").select("row_hash", F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias("times"))
-    return keyed.join(taken, "row_hash").withColumn("times", F.explode("times")).select(*docs.columns)
+        keyed = keyed.dropDuplicates([_KEY])  # equal rows: one stands for all, with the copies of all
+    taken = plan.where("copies > 0").select(F.col("row_hash").alias(_KEY), F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(_TIMES))
+    return keyed.join(taken, _KEY).withColumn(_TIMES, F.explode(_TIMES)).select(*docs.columns)
 
 
+#: Names for a moment beside the caller's columns.
+_KEY, _TIMES = "__lectern_row_hash", "__lectern_times"
+
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents

@@ -6,6 +6,8 @@ import pandas as pd
 import public_tokenizers as P
 import pytest
 
+from pyspark.sql import functions as F
+
 from lectern.llm import bpe, mixing, repetition
 from tests.llm import test_setsketch, test_suffixes
 
@@ -80,6 +82,8 @@ def test_run_against_brute_force(spark, tmp_path):
 
 def test_stages_keep_the_columns_and_take_empty_tables(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").withColumnRenamed("lang", "keep_lang")
+    for name in ("kept", "row_hash", "times", "gone", "copies", "h", "block", "component_id", "size"):
+        docs = docs.withColumn(name, F.lit(name))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
         assert name == "token_ids" or out.columns == docs.columns
