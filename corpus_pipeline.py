@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Rows without a doc_id stay."""
     found = setsketch.near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__lectern_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("__lectern_gone"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
         left = named.unionByName(left.where("doc_id IS NULL"))
