@@ -41,8 +41,10 @@ from .common import binary_column, cut, flat, gathered, mix, power_tables, relea
 SPAN, GRAM = 50, 19
 WINDOW = SPAN - GRAM + 1
 SHALLOW = 32
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 HOT = 20_000
+#: Bytes of compressed text for each bucket of anchors and of contexts.
+ANCHOR_BUCKET, CONTEXT_BUCKET = 8 << 20, 2 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -418,10 +420,17 @@ def whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """gone, less the bytes of characters that it holds only in part."""
     if not len(buf):
         return gone
-    char = np.cumsum((buf & 0xC0) != 0x80)
+    char = np.cumsum((buf & 0xC0) != 0x80, dtype=np.int32)
     return gone & ~np.bincount(char[~gone], minlength=char[-1] + 1).astype(bool)[char]
 
 
+def _running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, the total last."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=out[1:])
+    return out
+
+
 def _finish(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         tell = right.filter(pa.compute.equal(right["late"], False)) if right.num_rows else right
@@ -430,16 +439,16 @@ def _finish(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for row in left.to_pylist():
             k = Block(row)
             gone = _covered(k, *_news(tell, np.uint8), *_news(late, np.uint32))
-            total = np.concatenate(([0], np.cumsum(gone)))
+            total = _running(gone)
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             edge = k.off[1:-1][k.off[1:-1] < len(gone)]
             begins[edge] = gone[edge]
-            begun = np.concatenate(([0], np.cumsum(begins)))
+            begun = _running(begins)
             cutting = whole_characters(k.buf, gone) if texts else gone
-            left_off = k.off - np.concatenate(([0], np.cumsum(cutting)))[k.off]
+            left_off = k.off - _running(cutting)[k.off]
             kept = k.buf[~cutting]
-            cols = {"doc_id": pa.array(k.ids), "n_bytes": np.diff(k.off), "n_removed": np.diff(total[k.off]), "n_spans": np.diff(begun[k.off])}
+            cols = {"doc_id": pa.array(k.ids), "n_bytes": np.diff(k.off), "n_removed": np.diff(total[k.off]).astype(np.int64), "n_spans": np.diff(begun[k.off]).astype(np.int64)}
             if texts:
                 cols["kept_text"] = pa.array(binary_column(kept, left_off).cast(pa.string()))
             else:
@@ -454,14 +463,14 @@ def _finish(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _resolve(blocks: DataFrame, buckets: int, hot: int) -> DataFrame:
     news = "block long, keys binary, bits binary"
-    return cut(_anchors(blocks, buckets).groupBy("bucket").applyInArrow(_judge_anchors(hot), news), buckets, 8)
+    return cut(_anchors(blocks, buckets).groupBy("bucket").applyInArrow(_judge_anchors(hot), news), buckets, 2)
 
 
 def _resolve_rest(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
     sent = "bucket long, block long, keys binary, docs binary, shift binary, strings binary, text binary"
     texts = blocks.select("block", "ids", "off", "data")
     contexts = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_contexts(buckets), sent)
-    return cut(contexts.groupBy("bucket").applyInArrow(_sort_contexts, "block long, keys binary, bits binary"), buckets, 8)
+    return cut(contexts.groupBy("bucket").applyInArrow(_sort_contexts, "block long, keys binary, bits binary"), buckets, 2)
 
 
 def remove_repeats(docs: DataFrame, *carry: str, texts: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -472,9 +481,8 @@ def remove_repeats(docs: DataFrame, *carry: str, texts: bool = False, block: int
     """
     blocks = cut(_pack(docs, carry, block))
     size = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    buckets = max(64, 2 * size // (4 << 20))
-    told = _resolve(blocks, buckets, hot)
-    late = _resolve_rest(blocks, told, buckets)
+    told = _resolve(blocks, max(64, size // ANCHOR_BUCKET), hot)
+    late = _resolve_rest(blocks, told, max(64, size // CONTEXT_BUCKET))
     release(docs.sparkSession)
     heard = told.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     fields = [f"keep_{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
