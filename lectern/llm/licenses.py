@@ -1,12 +1,14 @@
 """License detection by sparse TF-IDF cosine, and inheritance from licence files, in DataFrame operations only.
 
 Lines of a text that hold a word of licensing are compared with templates of notices: cosine
-of TF-IDF vectors, the document frequencies being those of the templates. A document's own
-license is that of its best line. Licence files, known by name, speak for their directory; a
+of TF-IDF vectors, the document frequencies being those of the templates. So are windows of
+tokens, which pass over line ends and begin within lines: each word of licensing is laid on
+every place that it has in a template, and the window is what that template would cover. A
+document's own license is that of its best line or window. Licence files, known by name, speak for their directory; a
 document without a license of its own takes that of its nearest ancestor directory that has
 one, found by joining directories, not documents, with their ancestors.
 
-Distinct lines are scored once, so that a line that many documents share costs one row.
+Distinct lines and windows are scored once, so that a line that many documents share costs one row.
 
 Cases: null and empty texts have no lines; a null path has no directory and inherits nothing; equal scores fall
 back to the license's name; repeated rows are judged alike; an empty table gives an empty
@@ -55,6 +57,34 @@ ANCHOR = "licen[sc]|copyright|permission|redistribut|public domain|public licens
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)[^/]*$"
 MIN_COSINE = 0.6
+#: Words that tell similar licenses apart: a window and its template hold the same of them (fixed values).
+MARKS = ("affero", "lesser", "library", "mozilla", "nc", "noncommercial", "nd", "noderivatives", "sa", "sharealike", "2", "2.1", "3", "3.0", "2.0", "4.0")
+
+
+def spots() -> list[tuple[str, int, int]]:
+    """Every word of licensing in the templates, its place there and the template's length, in tokens."""
+    found = set()
+    for _, text in TEMPLATES:
+        tokens = list(re.finditer(TOKEN, text.lower()))
+        for m in re.finditer(ANCHOR, text.lower()):
+            at = next(i for i, t in enumerate(tokens) if t.end() >= m.end())
+            found.add((tokens[at].group(), at, len(tokens)))
+    return sorted(found)
+
+
+def windows(tokens: str) -> F.Column:
+    """The distinct windows of a column of tokens."""
+    known = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(n).alias("n")) for t, o, n in spots()))
+    words = sorted({t for t, _, _ in spots()})
+    held = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"].isin(words))
+    cover = lambda x, s: F.array_join(F.slice(tokens, F.greatest(x["i"] - s["o"], F.lit(0)) + 1, s["n"] + F.least(x["i"] - s["o"], F.lit(0))), " ")
+    return F.array_distinct(F.flatten(F.transform(held, lambda x: F.transform(F.filter(known, lambda s: s["t"] == x["t"]), lambda s: cover(x, s)))))
+
+
+def same_marks(window: str, template: str) -> F.Column:
+    of = [" ".join(sorted({t for t in re.findall(TOKEN, text.lower()) if t in MARKS})) for _, text in TEMPLATES]
+    own = F.array_join(F.array_sort(F.array_intersect(F.split(window, " "), F.array(*map(F.lit, MARKS)))), " ")
+    return own == F.element_at(F.array(*map(F.lit, of)), F.col(template) + 1)
 
 
 def vectors() -> tuple[list[tuple[int, str, str, float, float]], float]:
@@ -77,8 +107,11 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {_values()} AS t(template, license, token, idf, weight)")
 
 
-def score_lines(lines: DataFrame) -> DataFrame:
-    """line, license, score of the best template for every distinct line that reaches MIN_COSINE; lines: column line."""
+def score_lines(lines: DataFrame, marked: bool = False) -> DataFrame:
+    """line, license, score of the best template for every distinct line that reaches MIN_COSINE; lines: column line.
+
+    marked: only templates with the same MARKS; lines are then windows.
+    """
     known = templates(lines.sparkSession)
     bags = lines.select("line").distinct().select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0))).alias("token"))
     bags = bags.groupBy("line", "token").agg(F.count("*").alias("tf"))
@@ -87,6 +120,8 @@ def score_lines(lines: DataFrame) -> DataFrame:
     norm = idf.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = idf.join(F.broadcast(known.drop("idf")), "token").groupBy("line", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norm, "line").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= MIN_COSINE)
+    if marked:
+        scored = scored.where(same_marks("line", "template"))
     best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return best.select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
@@ -98,13 +133,17 @@ def scan(files: DataFrame) -> DataFrame:
     """
     text, path = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("path").cast("string")
     lines = F.when(text.rlike(f"(?i){ANCHOR}"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"(?i){ANCHOR}"))).otherwise(F.array().cast("array<string>"))
+    tokens = F.when(text.rlike(f"(?i){ANCHOR}"), F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     parent = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).when(path.isNotNull(), F.lit("."))
-    slim = files.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.xxhash64("doc_id", "path", "text").alias("k"), parent.alias("dir"), lines.alias("lines"))
+    slim = files.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.xxhash64("doc_id", "path", "text").alias("k"), parent.alias("dir"), lines.alias("lines"), F.explode(F.array(tokens)).alias("tokens"))
+    # The tokens come out of a generator, so that they are found once and not for each window.
+    slim = slim.withColumn("windows", windows("tokens")).drop("tokens")
     rows = files.count()
     slim = cut(slim, rows, 5_000)
     held = slim.where(F.size("lines") > 0).select("k", F.explode(F.array_distinct("lines")).alias("line")).distinct()
-    best = held.join(score_lines(held), "line").groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    own = slim.drop("lines").join(best, "k", "left").select("doc_id", "path", "dir", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    cover = slim.where(F.size("windows") > 0).select("k", F.explode("windows").alias("line")).distinct()
+    best = held.join(score_lines(held), "line").unionByName(cover.join(score_lines(cover, marked=True), "line")).groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    own = slim.drop("lines", "windows").join(best, "k", "left").select("doc_id", "path", "dir", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
     own = cut(own, rows)
 
     speaking = own.where(F.col("own_license").isNotNull() & F.col("path").rlike(FILE)).groupBy(F.col("dir").alias("license_dir")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("b"))

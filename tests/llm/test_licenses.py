@@ -23,3 +23,15 @@ def test_every_template_finds_itself(spark):
     lines = spark.createDataFrame([(t,) for _, t in licenses.TEMPLATES], "line string")
     got = {r["line"]: (r["license"], r["score"]) for r in licenses.score_lines(lines).collect()}
     assert all(got[t] == (name, 1.0) for name, t in licenses.TEMPLATES)
+
+
+def test_notices_over_lines_and_within_lines(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    mit = "MIT License\n\nCopyright (c) 2024 Foo\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+    apache = "some long line of other words that goes on and on before it says that all of this is Licensed under the Apache License, Version 2.0. and then goes on with quite different matters again"
+    bsd = "Copyright 2024 Foo\n\nRedistribution and use in source and binary\nforms, with or without modification, are\npermitted provided that the following\nconditions are met:\n1. Redistributions of source code must retain\n"
+    want = {1: "GPL-3.0", 2: "MIT", 3: "Apache-2.0", 4: "BSD-3-Clause", 5: "GPL-2.0", 6: None, 7: "GPL-3.0"}
+    gpl2 = gpl.replace("version 3", "version 2").replace("software:", "software;")
+    rows = [(1, gpl), (2, mit), (3, apache), (4, bsd), (5, gpl2), (6, "these words ask for permission to\nredistribute the license fee of 3 people"), (7, "words " * 500 + gpl + "words " * 500)]
+    files = spark.createDataFrame([(i, f"{i}/x", t) for i, t in rows], "doc_id long, path string, text string")
+    assert {r["doc_id"]: r["own_license"] for r in licenses.scan(files).collect()} == want
