@@ -9,9 +9,9 @@ run, and the bytes they cover its context.
 
 1. Documents are packed into blocks. Each block sends every anchor it holds, with a hash of
    the context and its first document, to a bucket of the anchor's hash.
-2. A bucket finds anchors of several documents. Where all contexts agree, each block but that
-   of the first document learns that the whole run is known. Of anchors with differing
-   contexts, one block sends each context.
+2. A bucket finds anchors of several documents. Where contexts agree, each block whose first
+   document is later than the first of all learns that the whole run is known. Of anchors with
+   differing contexts, one block sends each context, or several where they begin with one doc_id.
 3. The suffixes of these contexts, cut to SPAN bytes, are sorted: multikey quicksort, eight
    bytes a step, to a shallow depth; then blind tries order the groups that agree so far. Neighbours that
    share SPAN bytes are one string; its first document is known, and every block learns which
@@ -30,9 +30,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,10 +237,10 @@ class Block:
 
 
 def _pack(docs: DataFrame, carry: tuple[str, ...], most: int) -> DataFrame:
-    """Blocks: block (a hash of what it holds), ids, off, data (compressed), more (the carried columns)."""
+    """Blocks: block (its partition and its number there), ids, off, data (compressed), more (the carried columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, partition, numbers = [], 0, TaskContext.get().partitionId(), count()
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
@@ -248,8 +250,7 @@ def _pack(docs: DataFrame, carry: tuple[str, ...], most: int) -> DataFrame:
             with pa.ipc.new_stream(sink, t.select(list(carry)).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(t.select(list(carry)))
             ids, data = t["doc_id"].to_numpy().tobytes(), pa.compress(buf.tobytes(), codec="zstd", asbytes=True)
-            name = int.from_bytes(hashlib.blake2b(ids + data, digest_size=8).digest(), "little", signed=True)
-            return pa.RecordBatch.from_pydict({"block": [name], "ids": [ids], "off": [off.astype(np.int64).tobytes()], "data": [data], "more": [sink.getvalue().to_pybytes()]})
+            return pa.RecordBatch.from_pydict({"block": [partition << 32 | next(numbers)], "ids": [ids], "off": [off.astype(np.int64).tobytes()], "data": [data], "more": [sink.getvalue().to_pybytes()]})
 
         for b in slices(batches, "text", most // 8):
             held.append(b)
@@ -316,13 +317,15 @@ def _judge_anchors(hot: int) -> Callable[[pa.Table], pa.Table]:
         twice[:-1] |= same
         o = o[twice]
         o = o[np.lexsort((d[o], c[o], h[o]))]
-        h, c, b = h[o], c[o], b[o]
+        h, c, d, b = h[o], c[o], d[o], b[o]
         new_h, new_c = np.ones(len(o), bool), np.ones(len(o), bool)
         new_h[1:] = h[1:] != h[:-1]
         new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
         anchor = np.cumsum(new_h) - 1
-        contexts = np.bincount(anchor, new_c)[anchor] if len(o) else np.zeros(0)
-        say = np.where(~new_c, KNOWN, np.where(contexts > hot, SEND_STRINGS, np.where(contexts > 1, SEND, 0)))
+        # A block that begins with the least document too keeps its bytes, and asks for itself what stands in other contexts.
+        first = d == d[np.maximum.accumulate(np.where(new_c, np.arange(len(o)), 0))]
+        contexts, sent = (np.bincount(anchor, x)[anchor] if len(o) else np.zeros(0) for x in (new_c, first))
+        say = np.where(~first, KNOWN, np.where(contexts <= 1, 0, np.where(sent > hot, SEND_STRINGS, SEND)))
         use = np.flatnonzero(say)
         key, say, b = mix(h[use] * np.uint64(0xD6E8FEB86659FD93) + c[use]), say[use].astype(np.uint8), b[use]
         rows = _dealt(b.astype(np.int64), len(block), {"keys": lambda i: key[i].tobytes(), "bits": lambda i: say[i].tobytes()})

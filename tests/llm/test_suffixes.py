@@ -51,6 +51,15 @@ def test_against_all_strings(spark, hot, block):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot, block", [(20_000, 8 << 20), (1, 500)])
+def test_repeated_rows_in_several_blocks(spark, hot, block):
+    rows = corpus(5)
+    one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    dealt = spark.createDataFrame(rows + rows[::-1], "doc_id long, text string").repartition(5)
+    for docs in (one.union(one), dealt):
+        assert sorted(map(tuple, suffixes.remove_repeats(docs, hot=hot, block=block).collect()), key=str) == brute(rows + rows)
+
+
 def test_blind_trie_sorts():
     rng = random.Random(4)
     for _ in range(200):
