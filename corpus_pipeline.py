@@ -22,13 +22,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Rows without a doc_id stay."""
-    found = setsketch.near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__lectern_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__lectern_gone"), "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-        left = named.unionByName(left.where("doc_id IS NULL"))
-    return left
+    found = setsketch.near_duplicates(docs, hashes=True)
+    clash = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__lectern_gone"), F.col("set_hash").alias("__lectern_node")).distinct()
+    if not clash:
+        return docs.join(gone, docs["doc_id"] == F.col("__lectern_gone"), "left_anti")
+    # A doc_id may stand on texts of several groups: each row is judged by its own.
+    rows = setsketch.with_set_hash(docs, "__lectern_set")
+    left = rows.join(gone, (rows["doc_id"] == F.col("__lectern_gone")) & (rows["__lectern_set"] == F.col("__lectern_node")), "left_anti").drop("__lectern_set")
+    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(left.where("doc_id IS NULL"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, cut, flat, group_bounds, joined, mix, ngrams, slices, span_hashes, text_columns, whole_groups, words_of
 from .components import connected
@@ -233,8 +234,19 @@ def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> D
     return found.mapInArrow(own, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for every row of docs."""
+def with_set_hash(docs: DataFrame, name: str, words: int = WORDS) -> DataFrame:
+    """docs with the hash of each row's set as a column of this name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            own = set_hashes(shingle_sets(*flat(b["text"]), words), b.num_rows)[1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hashes: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for every row of docs; with hashes, also set_hash, null where a row links with nothing."""
     n = docs.count()
     sketched = cut(sketch(docs, words), n, 5_000)
     ids = sketched.select("doc_id", "n_shingles", "set_hash")
@@ -271,4 +283,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = ids.withColumn("set_hash", F.when(linkable, F.col("set_hash"))).join(reps, "set_hash", "left")
     component = F.coalesce("found", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["set_hash"] if hashes else []))

@@ -99,3 +99,11 @@ def test_repeats_follow_the_mix(spark):
     assert (plan.taken <= 3 * plan["size"]).all()
     by = plan.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((by.taken - by.target).abs() <= 5).all()
+
+
+def test_one_doc_id_on_texts_of_two_groups(spark):
+    say = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, say("a")), (5, say("a")), (5, say("b")), (7, say("b")), (5, ""), (None, say("a"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, say("a")), (5, say("b")), (5, ""), (None, say("a"))], key=str)
