@@ -65,6 +65,16 @@ def embedder(make: Callable[[], Encoder] | None = None, dim: int = schema.EMBED_
     return embed
 
 
+def query_embedder(make: Callable[[], Encoder] | None = None, dim: int = schema.EMBED_DIM) -> Callable[[Column], Column]:
+    """The embedder of questions: the same encoder, told by a prefix that the text is one."""
+    return embedder(make, dim, prefix=QUERY_PREFIX)
+
+
+def symmetric_embedder(make: Callable[[], Encoder] | None = None, dim: int = schema.EMBED_DIM) -> Callable[[Column], Column]:
+    """The embedder for comparing question with question, as answer relevancy does: no prefix on either side."""
+    return embedder(make, dim)
+
+
 def overlap_score(query: Column, content: Column) -> Column:
     """Stand-in reranker: the share of the query's distinct words that the content has."""
     q = F.array_distinct(text.words(query))
@@ -76,6 +86,35 @@ def parsed(raw: Column, fields: str) -> Column:
     return F.from_json(raw, fields, {"mode": "PERMISSIVE"})
 
 
+def conforms(fields: str) -> Callable[[str], dict]:
+    """A check of JSON text against a schema (DDL): an object with all fields that are not null, each of its type."""
+    want = T.StructType.fromDDL(fields)
+
+    def check(value, kind: T.DataType, at: str) -> None:
+        if isinstance(kind, T.StructType):
+            if not isinstance(value, dict):
+                raise ValueError(f"{at or 'the answer'} is not an object")
+            for f in kind.fields:
+                if value.get(f.name) is not None:
+                    check(value[f.name], f.dataType, f"{at}.{f.name}")
+                elif not f.nullable:
+                    raise ValueError(f"{at}.{f.name} is missing")
+        elif isinstance(kind, T.ArrayType):
+            if not isinstance(value, list):
+                raise ValueError(f"{at} is not a list")
+            for i, x in enumerate(value):
+                check(x, kind.elementType, f"{at}[{i}]")
+        elif not isinstance(value, int if isinstance(kind, T.IntegerType) else str) or isinstance(value, bool):
+            raise ValueError(f"{at} is not {'a whole number' if isinstance(kind, T.IntegerType) else 'a text'}")
+
+    def valid(raw: str) -> dict:
+        found = json.loads(raw)
+        check(found, want, "")
+        return found
+
+    return valid
+
+
 class Generator(Protocol):
     """JSON text for a prompt; temperature as the caller's mode wants it."""
 
@@ -124,7 +163,7 @@ def extractive_quiz() -> Generator:
 
     def answer(system: str, user: str, temperature: float) -> str:
         out = []
-        for i, n, body in re.findall(r"(?ms)^\[section (\d+)\] .*? write (\d+) question\(s\)\n(.*?)(?=^---$|\Z)", user):
+        for i, n, body in re.findall(r"(?ms)^\[section (\d+)\] .*?; questions wanted: (\d+)\n(.*?)(?=^---$|\Z)", user):
             lines = [x for x in body.splitlines() if re.search(r"[a-zA-Z0-9]", x)]
             out += [{"question": f"What does the material say in: {x[:60]}?", "answer": x, "supporting_quote": x, "section_index": int(i)} for x in lines[: int(n)]]
         return json.dumps({"questions": out})

@@ -91,9 +91,17 @@ def words(c: Column) -> Column:
 
 def quote_supported(quote: Column, source: Column, overlap: float = schema.QUOTE_OVERLAP) -> Column:
     """Whether the words of the quote stand in the source in one run, or enough of them anywhere."""
-    q, s = words(quote), words(source)
-    known = F.size(F.filter(q, lambda w: F.array_contains(s, w))) / F.size(q)
-    return F.when(F.size(q) == 0, False).when(F.array_join(s, " ").contains(F.array_join(q, " ")), True).otherwise(known >= overlap)
+
+    def judge(x: Column) -> Column:
+        q, s = x["q"], x["s"]
+        # Words are looked up once each: distinct ones are met with the source's, repeats count by how often they stand in the quote.
+        held = F.array_intersect(q, s)
+        known = F.size(F.filter(q, lambda w: F.array_contains(held, w))) / F.size(q)
+        return F.when(F.size(q) == 0, False).when(F.array_join(s, " ").contains(F.array_join(q, " ")), True).otherwise(known >= overlap)
+
+    # Bound as a struct, so that neither side is split into words again for every word of the quote.
+    bound = F.when(quote.isNotNull() & source.isNotNull(), F.array(F.struct(words(quote).alias("q"), words(source).alias("s"))))
+    return F.get(F.transform(bound, judge), F.lit(0))
 
 
 def is_meta_claim(c: Column) -> Column:

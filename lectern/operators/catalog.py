@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text
@@ -26,8 +26,12 @@ def scopes(documents: DataFrame) -> DataFrame:
     return documents.where("lecture IS NOT NULL").select("course", "lecture").distinct().orderBy("course", "lecture")
 
 
-def lectures(listed: DataFrame, course: str) -> DataFrame:
-    return listed.where((F.col("course") == course) & (F.col("lecture") != "")).select("lecture").distinct().orderBy("lecture")
+def lectures(listed: DataFrame, course: str | None = None) -> DataFrame:
+    """The lectures of a course, in order; without one, course and lecture of all."""
+    named = listed.where(F.col("lecture") != "")
+    if course is None:
+        return named.select("course", "lecture").distinct().orderBy("course", "lecture")
+    return named.where(F.col("course") == course).select("lecture").distinct().orderBy("lecture")
 
 
 def _matching(pattern: str):
@@ -52,19 +56,19 @@ def profile(texts: DataFrame, key: str, body: str) -> DataFrame:
 
 def samples(texts: DataFrame, key: str, body: str, first: int = 15, matches: int = 4) -> DataFrame:
     """key, kind, n, line: the first lines that are not blank, and the first matches of each pattern, cut to 88 characters."""
+
+    def picked(lines: Column) -> Column:
+        parts = [F.transform(F.slice(lines, 1, first), _sample("first"))]
+        for name, p in text.LINE_PATTERNS.items():
+            parts.append(F.transform(F.slice(F.filter(lines, _matching(p)), 1, matches), _sample(name)))
+        return F.concat(*parts)
+
+    # The lines are bound as an element, so that they are split once and not for each pattern.
     lines = text.lines(F.regexp_replace(body, text.FORMULA, " [FORMULA] "))
-    parts = [F.transform(F.slice(lines, 1, first), _sample("first"))]
-    for name, p in text.LINE_PATTERNS.items():
-        found = F.slice(F.filter(lines, _matching(p)), 1, matches)
-        parts.append(F.transform(found, _sample(name)))
-    return texts.select(key, F.explode(F.concat(*parts)).alias("s")).select(key, "s.*")
+    return texts.select(key, F.explode(F.get(F.transform(F.array(lines), picked), F.lit(0))).alias("s")).select(key, "s.*")
 
 
 def layout(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Courses of relative paths, and the files that lie in none."""
     deep = paths.withColumn("parts", F.split("path", "/"))
     return deep.where(F.size("parts") > 1).select(F.get("parts", F.lit(0)).alias("course")).distinct(), deep.where(F.size("parts") == 1).select("path")
-
-
-def first_per(t: DataFrame, by: str, *order: str) -> DataFrame:
-    return t.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("n = 1").drop("n")

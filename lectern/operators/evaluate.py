@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import schema
+from lectern.sources.shared import numbered
 
 
 def scored(c: str) -> Column:
@@ -51,8 +52,14 @@ def abstention(rows: DataFrame, by: str) -> DataFrame:
 
 
 def worst_first(rows: DataFrame, metric: str, *ties: str) -> DataFrame:
-    """Unscored rows, then from the lowest score up."""
-    return rows.withColumn(metric, scored(metric)).orderBy(F.asc_nulls_first(metric), *ties)
+    """Unscored rows, then from the lowest score up, with their place in that order."""
+    return numbered(rows.withColumn(metric, scored(metric)), "place", F.asc_nulls_first(metric), *map(F.col, ties)).orderBy("place")
+
+
+def with_section_texts(questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """questions with context, the text of their section (section_key); empty where there is none. texts: key, content."""
+    found = texts.select(F.col("key").alias("section_key"), F.col("content").alias("context"))
+    return questions.join(found, "section_key", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def require_samples(rows: DataFrame) -> DataFrame:
@@ -68,7 +75,3 @@ def failed(means: DataFrame, *metrics: str, threshold: float = schema.PASS_MARK)
     for m in metrics:
         under = under | F.coalesce(F.col(m) < threshold, F.lit(False))
     return not means.where(under).isEmpty()
-
-
-def errors(message: Column) -> Column:
-    return F.substring(message, 1, 200)

@@ -27,14 +27,15 @@ def verdicts(claims: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def answers(queries: DataFrame, passages: DataFrame, judged: DataFrame) -> DataFrame:
-    """query_id, explanation, citations, n_claims, not_covered for every query; those without passages say so."""
-    kept = judged.where("status = 'kept'").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("claim", "text", "citation"))).alias("c"))
+    """query_id, claims (text, citation), explanation, citations, n_claims, not_covered for every query; those without passages say so."""
+    claim = F.struct("claim", "text", "citation")
+    kept = judged.groupBy("query_id").agg(F.sort_array(F.collect_list(F.when(F.col("status") == "kept", claim))).alias("c"), F.max("not_covered").alias("said") if "not_covered" in judged.columns else F.lit(None).cast("string").alias("said"))
     some = passages.select("query_id").distinct().withColumn("found", F.lit(True))
-    said = judged.groupBy("query_id").agg(F.max("not_covered").alias("said")) if "not_covered" in judged.columns else judged.select("query_id").distinct().withColumn("said", F.lit(None).cast("string"))
-    out = queries.select("query_id").join(some, "query_id", "left").join(kept, "query_id", "left").join(said, "query_id", "left")
-    claims = F.col("c")
-    text_of, cite_of = F.transform(claims, lambda x: x["text"]), F.transform(claims, lambda x: x["citation"])
+    out = queries.select("query_id").join(some, "query_id", "left").join(kept, "query_id", "left")
+    c = F.coalesce("c", F.array().cast(kept.schema["c"].dataType))
+    text_of, cite_of = F.transform(c, lambda x: x["text"]), F.transform(c, lambda x: x["citation"])
     return out.select(
-        "query_id", F.coalesce(F.array_join(text_of, " "), F.lit("")).alias("explanation"), F.coalesce(F.array_join(cite_of, " "), F.lit("")).alias("citations"),
-        F.coalesce(F.size("c"), F.lit(0)).cast("long").alias("n_claims"), F.when(F.col("found").isNull(), schema.NO_CONTEXT).otherwise(F.coalesce("said", F.lit(""))).alias("not_covered"),
+        "query_id", F.transform(c, lambda x: F.struct(x["text"].alias("text"), x["citation"].alias("citation"))).alias("claims"),
+        F.array_join(text_of, " ").alias("explanation"), F.array_join(cite_of, " ").alias("citations"), F.size(c).cast("long").alias("n_claims"),
+        F.when(F.col("found").isNull(), schema.NO_CONTEXT).otherwise(F.coalesce("said", F.lit(""))).alias("not_covered"),
     )

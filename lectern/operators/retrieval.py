@@ -8,12 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import schema
 from lectern.functions import text
 
 #: Vectors of one packed block.
 QUERY_BLOCK, ROW_BLOCK = 512, 8192
+#: Tasks that the rows of one course fall to, at least.
+SALT = 8
+#: Courses that are named in the plan, so that their folders alone are read; more are found by a semi-join.
+PRUNED = 1000
 
 
 def scoped(chunks: DataFrame, course: str, lecture: str | None = None) -> DataFrame:
@@ -24,43 +29,60 @@ def scoped(chunks: DataFrame, course: str, lecture: str | None = None) -> DataFr
     return out if lecture is None else out.where(F.col("lecture") == lecture)
 
 
-def _packed(df: DataFrame, size: int, most: str) -> DataFrame:
-    """course, ids, vectors: rows packed into blocks of about size rows of one course."""
+def _blocks(df: DataFrame, size: int) -> DataFrame:
+    """course, ids, vectors: rows packed into blocks of at most `size` vectors of one course, where they are read."""
+    kind = df.schema["course"].dataType
 
-    def pack(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        vec = t["vector"].combine_chunks() if isinstance(t["vector"], pa.ChunkedArray) else t["vector"]
-        width = pa.compute.list_value_length(vec)[0].as_py()
-        flat = np.ascontiguousarray(vec.flatten().to_numpy(), np.float64).reshape(-1, width)
-        return pa.table({"course": t["course"][:1], "ids": [t["id"].to_numpy().astype(np.int64).tobytes()], "vectors": [flat.tobytes()]})
-
-    counts = df.groupBy("course").agg(F.count("*").alias("n"))
-    blocks = df.join(counts, "course").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)))
-    return blocks.select("course", "block", "id", "vector").groupBy("course", "block").applyInArrow(pack, f"course {most}, ids binary, vectors binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = np.ascontiguousarray(b["vector"].flatten().to_numpy(zero_copy_only=False), np.float64)
+            lengths = pa.compute.list_value_length(b["vector"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = np.cumsum(lengths) - lengths
+            ids = b["id"].to_numpy()
+            courses = b["course"].dictionary_encode()
+            code = courses.indices.to_numpy(zero_copy_only=False)
+            for c, n in sorted(set(zip(code.tolist(), lengths.tolist()))):
+                mine = np.flatnonzero((code == c) & (lengths == n))
+                for lo in range(0, len(mine), size):
+                    at = mine[lo : lo + size]
+                    rows = flat[begin[at][:, None] + np.arange(n)]
+                    yield pa.RecordBatch.from_arrays([courses.dictionary.take(pa.array([c])), pa.array([n], pa.int64()), pa.array([ids[at].astype(np.int64).tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["course", "width", "ids", "vectors"])
+
+    v = F.col("vector")
+    # A direction is needed: null and zero vectors, and vectors with a null, infinite or undefined component, find nothing and are not found.
+    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = df.select("course", "id", F.col("vector").cast("array<double>").alias("vector")).where("course IS NOT NULL AND id IS NOT NULL AND vector IS NOT NULL").where(finite & F.exists(v, lambda x: x != 0))
+    return sound.mapInArrow(pack, T.StructType([T.StructField("course", kind), T.StructField("width", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())]))
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = schema.TOP_K) -> DataFrame:
     """query_id, id, score, rank: the k rows of each query's course with the highest cosine, ties by id.
 
-    queries: query_id, course, vector; rows: id, course, vector. Both sides are packed into blocks, blocks of one
-    course meet in an equi-join, and each pair of blocks returns k rows a query at most, by a matrix product.
+    queries: query_id, course, vector; rows: id, course, vector. Cosines are ranked to ten digits, so that equal
+    vectors tie wherever they are compared. Vectors without a direction, or of another length, are no results.
+
+    Both sides are packed into blocks where they are read. Blocks of one course meet in an equi-join that is salted:
+    a course's rows fall to SALT tasks, each with a copy of the few blocks of queries. Each pair of
+    blocks returns k rows a query at most, by a matrix product.
     """
-    kind = rows.schema["course"].dataType.simpleString()
-    asked = _packed(queries.select(F.col("query_id").alias("id"), "course", "vector"), QUERY_BLOCK, kind)
-    held = _packed(rows.select("id", "course", "vector"), ROW_BLOCK, kind)
-    pairs = asked.withColumnsRenamed({"ids": "q", "vectors": "qv"}).join(held, "course").select("q", "qv", "ids", "vectors")
+    asked = _blocks(queries.select(F.col("query_id").alias("id"), "course", "vector"), QUERY_BLOCK)
+    held = _blocks(rows.select("id", "course", "vector"), ROW_BLOCK).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALT)))
+    asked = asked.withColumnsRenamed({"ids": "q", "vectors": "qv"}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")))
+    pairs = asked.join(held, ["course", "width", "salt"]).select("q", "qv", "ids", "vectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q, qv, ids, vectors in zip(*(b[c].to_pylist() for c in ("q", "qv", "ids", "vectors")), strict=True):
                 q, ids = np.frombuffer(q, np.int64), np.frombuffer(ids, np.int64)
                 a, v = np.frombuffer(qv).reshape(len(q), -1), np.frombuffer(vectors).reshape(len(ids), -1)
+                # Scaled first, so that no square overflows or vanishes.
+                a, v = (x / np.abs(x).max(1, keepdims=True) for x in (a, v))
                 score = (a @ v.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((v * v).sum(1)))
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 10)), axis=1)[:, :k]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
 
     found = pairs.mapInArrow(search, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -111,17 +133,25 @@ def passages(hits: DataFrame, chunks: DataFrame, most: int = schema.MAX_PASSAGES
 def retrieve(queries: DataFrame, chunks: DataFrame, documents: DataFrame, embed, rerank, k: int = schema.TOP_K, most: int = schema.MAX_PASSAGES, floor: float = schema.MIN_RERANK_SCORE) -> DataFrame:
     """Passages for queries (query_id, course, question, optional lecture); see passages().
 
+    Equal cosines are ordered by the chunk's id: column id (long) of chunks, or a hash of its key where there is none.
     embed turns a text column into a query vector, rerank (query, content) into a score from 0 to 1.
     """
-    chunk_id = F.xxhash64("document_id", "ordinal")
-    rows = chunks.withColumn("id", chunk_id).join(documents.select(F.col("id").alias("document_id"), "doc_path", "lecture"), "document_id")
     asked = queries.select("query_id", "course", "question", *(["lecture"] if "lecture" in queries.columns else [])).withColumn("vector", embed(F.col("question")))
+    courses = queries.where("course IS NOT NULL").select("course").distinct()
+    named = [r[0] for r in courses.limit(PRUNED + 1).collect()]
+    # The chunk table is partitioned by course: with few courses their folders alone are listed and read.
+    near_by = chunks.where(F.col("course").isin(named)) if len(named) <= PRUNED else chunks.join(courses, "course", "left_semi")
+    paths = documents.select(F.col("id").alias("document_id"), "doc_path", "lecture")
+    rows = near_by.drop("lecture").withColumn("id", F.col("id") if "id" in chunks.columns else F.xxhash64("document_id", "ordinal")).join(paths, "document_id")
     if "lecture" in queries.columns:  # a null lecture asks for the whole course
-        scope = lambda c, l: F.to_json(F.struct(c, l))
-        both = F.explode(F.array(scope(F.col("course"), F.lit(None).cast("string")), scope(F.col("course"), F.col("lecture"))))
-        pool = rows.withColumn("scope", both)
-        near = top_k(asked.withColumn("course", scope(F.col("course"), F.col("lecture"))), pool.select("id", F.col("scope").alias("course"), F.col("embedding").alias("vector")).distinct(), k)
+        scope = lambda c, l: F.to_json(F.struct(c.alias("c"), l.alias("l")))
+        asked = asked.withColumn("scope", scope(F.col("course"), F.col("lecture")))
+        both = F.array_distinct(F.array(scope(F.col("course"), F.lit(None).cast("string")), scope(F.col("course"), F.col("lecture"))))
+        pool = rows.select("id", F.explode(both).alias("scope"), F.col("embedding").alias("vector")).join(asked.select("scope").distinct(), "scope", "left_semi")
+        near = top_k(asked.drop("course").withColumnRenamed("scope", "course"), pool.withColumnRenamed("scope", "course"), k)
     else:
         near = top_k(asked, rows.select("id", "course", F.col("embedding").alias("vector")), k)
-    hits = near.join(rows.drop("embedding"), "id").join(asked.select("query_id", "question"), "query_id")
-    return passages(gated(reranked(hits, rerank(F.col("question"), F.col("content"))), floor), chunks, most)
+    # The hash of a chunk's key finds its row; course and lecture are compared again, so that no other row can pass.
+    hits = near.join(rows.drop("embedding"), "id").join(asked.select("query_id", "question", F.col("course").alias("asked"), *([F.col("lecture").alias("within")] if "lecture" in queries.columns else [])), "query_id")
+    hits = hits.where("course = asked" + (" AND (within IS NULL OR lecture = within)" if "lecture" in queries.columns else ""))
+    return passages(gated(reranked(hits, rerank(F.col("question"), F.col("content"))), floor), near_by, most)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import schema
 from lectern.functions import text
@@ -17,12 +18,14 @@ from lectern.functions import text
 
 def footers(pages: DataFrame) -> DataFrame:
     """document_id, footer: the line (page numbers aside) that stands on most pages, if on enough of them."""
-    seen = pages.select("document_id", "page", F.explode(F.array_distinct(F.transform(text.lines(F.col("text")), text.without_page_number))).alias("footer")).where("footer <> ''")
+    # Every page also has an empty line, which counts the pages in the same pass.
+    bare = F.transform(text.lines(F.col("text")), text.without_page_number)
+    seen = pages.select("document_id", "page", F.explode(F.array_distinct(F.concat(F.coalesce(bare, F.array().cast("array<string>")), F.array(F.lit(""))))).alias("footer"))
     counts = seen.groupBy("document_id", "footer").agg(F.countDistinct("page").alias("n"))
-    best = counts.groupBy("document_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "footer")).alias("b"))
-    total = pages.groupBy("document_id").agg(F.countDistinct("page").alias("pages"))
+    line = F.when(F.col("footer") != "", F.struct((-F.col("n")).alias("n"), "footer"))
+    best = counts.groupBy("document_id").agg(F.min(line).alias("b"), F.max(F.when(F.col("footer") == "", F.col("n"))).alias("pages"))
     share = -F.col("b.n") / F.col("pages")
-    return best.join(total, "document_id").where(share >= schema.FOOTER_MIN_SHARE).select("document_id", F.col("b.footer").alias("footer"))
+    return best.where(share >= schema.FOOTER_MIN_SHARE).select("document_id", F.col("b.footer").alias("footer"))
 
 
 def parse(pages: DataFrame, footer: DataFrame | None) -> DataFrame:
@@ -95,8 +98,8 @@ def split_by_tokenizer(slides: DataFrame, count_tokens: Callable[[pd.Series], pd
             counts = [[int(n) for n in count_tokens(pd.Series(p))] for p in parts]
             yield b.assign(parts=parts, counts=counts)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slides.schema.fields)
-    return slides.mapInPandas(run, f"{fields}, parts array<string>, counts array<int>")
+    more = [T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    return slides.mapInPandas(run, T.StructType([*slides.schema.fields, *more]))
 
 
 def chunks(pages: DataFrame, footer: DataFrame | None = None, remove_footer: bool = True, count_tokens: Callable | None = None) -> DataFrame:
@@ -104,10 +107,14 @@ def chunks(pages: DataFrame, footer: DataFrame | None = None, remove_footer: boo
 
     footer: given ones instead of those detected. count_tokens: a tokenizer on pandas series; words by default.
     """
+    # All that follows works within documents: one exchange by document serves every step.
+    pages = pages.repartition("document_id")
     if footer is None and remove_footer:
         footer = footers(pages)
     slides = with_sections(parse(pages, footer if remove_footer else None))
-    lecture = lectures(slides)
+    head = text.join_parts("\n", F.col("title"), F.col("body"))
+    first = F.max(F.when(F.col("page") == 1, text.lecture_id(head))).over(Window.partitionBy("document_id"))
+    slides = slides.withColumn("lecture", first)
     full = slides.where(text.strip(F.col("body")) != "").withColumn("content", text.join_parts("\n", F.col("title"), F.col("body")))
     same = Window.partitionBy("document_id", "content").orderBy("page")
     full = full.withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy")
@@ -116,10 +123,10 @@ def chunks(pages: DataFrame, footer: DataFrame | None = None, remove_footer: boo
         full = full.withColumn("parts", parts).withColumn("counts", F.transform("parts", text.word_count))
     else:
         full = split_by_tokenizer(full, count_tokens)
-    parts = full.withColumn("whole", F.size("parts") == 1).select("document_id", "course", "section", "page", "whole", F.posexplode(F.arrays_zip("parts", "counts")).alias("part", "p"))
+    parts = full.withColumn("whole", F.size("parts") == 1).select("document_id", "course", "lecture", "section", "page", "whole", F.posexplode(F.arrays_zip("parts", "counts")).alias("part", "p"))
     parts = parts.where(~F.col("whole") | (F.col("p.counts") >= schema.MIN_TOKENS))
     order = Window.partitionBy("document_id").orderBy("page", "part")
-    out = parts.withColumn("ordinal", F.row_number().over(order) - 1).join(lecture, "document_id", "left")
+    out = parts.withColumn("ordinal", F.row_number().over(order) - 1)
     return out.select("document_id", "course", "lecture", "section", "ordinal", F.col("page").cast("int").alias("page"), F.col("p.parts").alias("content"), F.col("p.counts").alias("token_count"))
 
 

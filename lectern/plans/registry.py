@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import schema
-from lectern.functions import models, text, vectors
+from lectern.functions import models, text
 from lectern.operators import catalog, evaluate, ground, quiz, retrieval, slides
+from lectern.plans import pipelines
 from lectern.plans.pipelines import counters, passages_prompt
 from lectern.plans.sql import ORACLE
 from lectern.sources import files, store
+from lectern.sources.shared import cut, numbered
 
 LINES_A_PAGE = 4
 
@@ -34,9 +38,15 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of all documents; a query that reads them more than once starts from stored()."""
     return slides.chunks(pages(spark, sf))
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """chunks(), made once and written to the shared folder, as an ingest writes its chunk table."""
+    return cut(chunks(spark, sf))
+
+
 def hits(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     named = rows.drop("lecture").join(documents(spark, sf).select(F.col("id").alias("document_id"), "doc_path", "lecture"), "document_id")
     named = named.withColumn("query_id", F.concat("course", F.lit("/"), F.coalesce("lecture", F.lit("")))).withColumn("score", F.col("token_count") % 101 / F.lit(100.0))
@@ -45,7 +55,7 @@ def hits(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunks(spark, sf)
+    rows = stored(spark, sf)
     return retrieval.passages(retrieval.gated(hits(spark, sf, rows)), rows)
 
 
@@ -57,8 +67,13 @@ def plan(spark: SparkSession, sf: str) -> DataFrame:
     return quiz.planned(quiz.buckets(chunks(spark, sf), documents(spark, sf)))
 
 
+def q_bucket_text(spark, sf):
+    rows = stored(spark, sf)
+    return quiz.bucket_texts(quiz.planned(quiz.buckets(rows, documents(spark, sf))), rows)
+
+
 def quiz_status(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = chunks(spark, sf)
+    rows = stored(spark, sf)
     owned = quiz.allocate(quiz.planned(quiz.buckets(rows, documents(spark, sf))), schema.DEFAULT_QUESTIONS, "course", "lecture")
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("first_ordinal", "key")) - 1
     chosen = owned.withColumn("section_index", index).join(quiz.bucket_texts(owned, rows), "key").select(F.col("document_id").alias("scope"), "section_index", "key", "quota", "content")
@@ -84,11 +99,84 @@ def q_vector_topk(spark, sf):
 
 
 def q_scoped_search(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("course", F.col("label").cast("string"))
-    own = retrieval.scoped(e, "3")
-    asked = own.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    score = vectors.cosine(F.col("embedding"), F.col("q"))
-    return own.join(F.broadcast(asked)).select(F.col("vec_id").alias("id"), F.round(score, 10).alias("s")).orderBy(F.desc("s"), "id").limit(schema.TOP_K).select("id", F.round("s", 6).alias("score"))
+    """Every vector whose id is divisible by 100 asks within its own course and lecture, or within the whole course where it names none."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("course"), (F.col("vec_id") % 3).cast("string").alias("lecture"), F.col("embedding").alias("vector"))
+    asked = e.where("id % 100 = 0").withColumn("lecture", F.when(F.col("id") % 200 == 0, F.col("lecture")))
+    scope = lambda c, l: F.to_json(F.struct(c.alias("c"), l.alias("l")))
+    both = F.explode(F.array(scope(F.col("course"), F.lit(None).cast("string")), scope(F.col("course"), F.col("lecture"))))
+    found = retrieval.top_k(asked.select(F.col("id").alias("query_id"), scope(F.col("course"), F.col("lecture")).alias("course"), "vector"), e.select("id", both.alias("course"), "vector"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def q_topk_edge_vectors(spark, sf):
+    """vector_topk where some vectors are null, zero or hold a null component: these find nothing and are not found."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("course"), F.col("embedding").alias("v"))
+    part = F.when(F.col("vec_id") % 7 == 1, F.lit(None)).when(F.col("vec_id") % 7 == 2, F.transform("v", lambda x: x * 0)).when(F.col("vec_id") % 7 == 3, F.transform("v", lambda x, i: F.when(i > 0, x))).otherwise(F.col("v"))
+    e = e.withColumn("vector", part).drop("v")
+    found = retrieval.top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "id"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+#: The letters that q_retrieve's encoder counts.
+LETTERS = "etaoinshrdlcumwfgypbvk"
+
+
+def letter_counts(c):
+    """A deterministic encoder that SQL can state too: how often each of LETTERS stands in the text."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("float") for x in LETTERS))
+
+
+def _questions(spark, sf):
+    """Every document whose id is divisible by 100 asks with the start of its text, within its course, and every second of these within its lecture."""
+    t = table(spark, sf, "documents").where("doc_id % 100 = 0")
+    return t.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("course"), F.when(F.col("doc_id") % 200 == 0, F.col("source")).alias("lecture"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("question"))
+
+
+def q_retrieve(spark, sf):
+    """The whole retrieval: scoped search, reranking, gate, expansion, passages."""
+    held = stored(spark, sf).withColumn("embedding", letter_counts(F.col("content"))).withColumn("id", F.col("document_id") * 1000000 + F.col("ordinal"))
+    found = retrieval.retrieve(_questions(spark, sf), held, documents(spark, sf), letter_counts, models.overlap_score)
+    return found.select("query_id", "passage", "doc_path", "section", F.array_join("pages", ",").alias("pages"), F.md5("content").alias("content"), F.round("score", 6).alias("score"))
+
+
+def q_ask_status(spark, sf):
+    """Answers whose generator fails for every third question, which must show as an error and not as an empty answer."""
+
+    def make():
+        good = models.extractive_answers()
+
+        def answer(system, user, temperature):
+            if int(re.search(r"Question: (-?\d+)", user).group(1)) % 3 == 0:
+                return '{"claims": [{"text": "no index"}]}'
+            return good(system, user, temperature)
+
+        return answer
+
+    held = stored(spark, sf).withColumn("embedding", letter_counts(F.col("content"))).withColumn("id", F.col("document_id") * 1000000 + F.col("ordinal"))
+    asked = _questions(spark, sf).withColumn("question", F.concat(F.expr("query_id div 100").cast("string"), F.lit(" "), "question"))
+    out = pipelines.ask(asked, held, documents(spark, sf), letter_counts, generator=make)
+    return out.select("query_id", F.col("error").isNotNull().alias("failed"), (F.col("not_covered") == schema.NO_CONTEXT).alias("no_context"))
+
+
+def q_quiz_prompts(spark, sf):
+    """The prompt of the first round of every lecture's quiz."""
+    rows = stored(spark, sf)
+    owned = quiz.allocate(quiz.planned(quiz.buckets(rows, documents(spark, sf))), schema.DEFAULT_QUESTIONS, "course", "lecture").where("quota > 0")
+    index = F.row_number().over(Window.partitionBy("course", "lecture").orderBy("doc_path", "first_ordinal", "key")) - 1
+    owned = owned.withColumn("section_index", index).join(quiz.bucket_texts(owned, rows), "key")
+    chosen = owned.select(F.concat_ws(" / ", "course", "lecture").alias("scope"), "section_index", "label", "quota", "content")
+    return pipelines.sections_prompt(chosen).select("scope", F.md5("prompt").alias("prompt"))
+
+
+def q_quiz_means(spark, sf):
+    """Mean faithfulness by scope (course / lecture) with unscored questions left out, and how many questions have the text of their section."""
+    t = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    asked = t.select(F.concat_ws(" / ", "lang", "source").alias("scope"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("0")).alias("section_key"), F.coalesce(F.col("quality").cast("double"), F.lit(float("nan"))).alias("faithfulness"))
+    texts = q_bucket_text(spark, sf)
+    found = evaluate.with_section_texts(asked, texts)
+    held = found.groupBy("scope").agg(F.count_if(F.col("context") != "").alias("with_text"))
+    return evaluate.means_by(found, "scope", "faithfulness").join(held, "scope")
 
 
 def q_footer_detect(spark, sf):
@@ -144,7 +232,7 @@ def q_rerank_order(spark, sf):
 
 
 def q_expand_spans(spark, sf):
-    rows = chunks(spark, sf)
+    rows = stored(spark, sf)
     return retrieval.spans(hits(spark, sf, rows), rows).select("query_id", "rank", "ordinal", "page")
 
 
@@ -157,9 +245,9 @@ def q_ask_prompts(spark, sf):
 
 
 def _quotes(spark, sf):
-    b = table(spark, sf, "benchmark")
+    b = numbered(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), "i", F.col("item_id"))
     n = b.count()
-    return table(spark, sf, "documents").withColumn("i", F.col("doc_id") % n), b.select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("i"), "item_id", F.col("text").alias("quote"))
+    return table(spark, sf, "documents").withColumn("i", F.col("doc_id") % n), b.withColumn("i", F.col("i").cast("long") - 1)
 
 
 def q_quote_support(spark, sf):
@@ -198,8 +286,7 @@ def q_abstention(spark, sf):
 
 def q_worst_first(spark, sf):
     t = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.col("quality").cast("double").alias("quality"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_first("quality"), "doc_id"))
-    return evaluate.worst_first(t, "quality", "doc_id").withColumn("place", place)
+    return evaluate.worst_first(t, "quality", "doc_id").withColumn("place", F.col("place").cast("int"))
 
 
 def q_catalog_rollup(spark, sf):
@@ -210,7 +297,7 @@ def q_catalog_rollup(spark, sf):
 
 def q_oversized_split(spark, sf):
     lines = F.split("text", "\n")
-    t = table(spark, sf, "documents").where(F.col("text").contains("\n")).select("doc_id", F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("body"))
+    t = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("body"))
     return t.select("doc_id", F.posexplode(slides.packed_lines(F.col("title"), F.col("body"))).alias("p", "c")).select("doc_id", (F.col("p") + 1).alias("part"), F.md5("c").alias("content"))
 
 
@@ -241,6 +328,11 @@ def q_profile_text(spark, sf):
 QUERIES = {
     "vector_topk": q_vector_topk,
     "scoped_search": q_scoped_search,
+    "topk_edge_vectors": q_topk_edge_vectors,
+    "retrieve": q_retrieve,
+    "ask_status": q_ask_status,
+    "quiz_means": q_quiz_means,
+    "quiz_prompts": q_quiz_prompts,
     "clean_text": lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.clean(F.col("html"))).alias("cleaned")),
     "doc_type": lambda s, d: table(s, d, "pages").select("page_id", text.doc_type(F.col("url")).alias("doc_type")),
     "footer_detect": q_footer_detect,
@@ -266,7 +358,7 @@ QUERIES = {
     "buckets": lambda s, d: quiz.buckets(chunks(s, d), documents(s, d)).select("document_id", "label", "first_ordinal", "last_ordinal", "n_chunks"),
     "plan_buckets": lambda s, d: plan(s, d).select("key", "label", "first_ordinal", "last_ordinal", "n_chunks"),
     "allocate": lambda s, d: quiz.allocate(plan(s, d), schema.DEFAULT_QUESTIONS, "course", "lecture").select("key", "course", "lecture", "quota"),
-    "bucket_text": lambda s, d: quiz.bucket_texts(plan(s, d), chunks(s, d)).select("key", F.md5("content").alias("content")),
+    "bucket_text": lambda s, d: q_bucket_text(s, d).select("key", F.md5("content").alias("content")),
     "quiz_citations": lambda s, d: plan(s, d).select("key", text.quiz_citation(F.col("doc_path"), F.col("lecture"), F.col("label")).alias("citation")),
     "quota_filter": lambda s, d: quiz_status(s, d)[0].select("scope", "pos", "status"),
     "quiz_report": q_quiz_report,
@@ -279,7 +371,7 @@ QUERIES = {
     "catalog": lambda s, d: catalog.listing(documents(s, d), chunks(s, d)),
     "catalog_rollup": q_catalog_rollup,
     "scopes": lambda s, d: catalog.scopes(documents(s, d)),
-    "course_lectures": lambda s, d: catalog.lectures(documents(s, d), "en"),
+    "course_lectures": lambda s, d: catalog.lectures(documents(s, d)),
     "line_profile": lambda s, d: catalog.profile(table(s, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text"),
     "line_samples": lambda s, d: catalog.samples(table(s, d, "documents"), "doc_id", "text"),
     "oversized_split": q_oversized_split,

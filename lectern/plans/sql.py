@@ -78,6 +78,25 @@ HITS = (
     "(SELECT c.course || '/' || coalesce(lecture, '') AS query_id, token_count % 101 / 100.0::DOUBLE AS score, c.course, document_id, doc_path, lecture, section, ordinal FROM chunks c JOIN docs d ON d.id = document_id AND d.course IS NOT DISTINCT FROM c.course) "
     f"QUALIFY rank <= {schema.TOP_K})"
 )
+#: The start of a document's text, as a question.
+QUESTION = "substr(coalesce(text, ''), 1, 200)"
+LETTERS = "etaoinshrdlcumwfgypbvk"
+
+
+def retrieval(question: str) -> str:
+    """hits of the whole retrieval by letter counts, reranked by shared words and gated; see the registry's q_retrieve."""
+    counts = lambda x: "[" + ", ".join(f"(length(lower({x})) - length(replace(lower({x}), '{a}', '')))::DOUBLE" for a in LETTERS) + "]"
+    return (
+        f"{CHUNKS}, asked AS (SELECT doc_id AS query_id, lang AS course, CASE WHEN doc_id % 200 = 0 THEN source END AS lecture, {question} AS question FROM documents WHERE doc_id % 100 = 0), "
+        f"qv AS (SELECT *, {counts('question')} AS v, list_distinct({words('question')}) AS w FROM asked), "
+        f"cv AS (SELECT c.document_id, c.ordinal, c.section, c.content, d.course, d.doc_path, d.lecture, {counts('c.content')} AS v FROM chunks c JOIN docs d ON d.id = c.document_id), "
+        "near AS (SELECT q.query_id, q.w, c.document_id, c.ordinal, c.section, c.content, c.course, c.doc_path, c.lecture, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.v, c.v), 10) DESC, c.document_id * 1000000 + c.ordinal) AS r "
+        f"FROM qv q JOIN cv c ON c.course = q.course AND (q.lecture IS NULL OR c.lecture = q.lecture) WHERE list_max(q.v) > 0 AND list_max(c.v) > 0 QUALIFY r <= {schema.TOP_K}), "
+        f"scored AS (SELECT *, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(w, lambda x: list_contains({words('content')}, x))) / len(w) END AS score FROM near), "
+        "hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) AS rank, score, course, document_id, doc_path, lecture, section, ordinal FROM scored)"
+    )
+
+
 SPANS = (
     ", spans AS (SELECT h.query_id, h.rank, c.ordinal, c.page, c.content FROM hits h JOIN chunks c ON c.document_id = h.document_id AND (c.section = h.section OR h.section IS NULL AND c.ordinal BETWEEN h.ordinal - 1 AND h.ordinal + 1))"
 )
@@ -134,7 +153,17 @@ _STATUS = (
 
 ORACLE: dict[str, str] = {
     "vector_topk": f"SELECT * FROM (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 10) DESC, r.vec_id)::INTEGER AS rank FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id % 100 = 0) WHERE rank <= {schema.TOP_K}",
-    "scoped_search": f"SELECT id, round(s, 6) AS score FROM (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 1)), 10) AS s FROM embeddings WHERE label = 3) ORDER BY s DESC, id LIMIT {schema.TOP_K}",
+    "scoped_search": "SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, r.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s "
+    f"FROM embeddings q JOIN embeddings r ON q.label = r.label AND (q.vec_id % 200 <> 0 OR q.vec_id % 3 = r.vec_id % 3) WHERE q.vec_id % 100 = 0)) WHERE rank <= {schema.TOP_K}",
+    "topk_edge_vectors": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 7 NOT IN (1, 2, 3)) SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, id)::INTEGER AS rank FROM "
+    f"(SELECT q.vec_id AS query_id, r.vec_id AS id, list_cosine_similarity(q.v, r.v) AS s FROM e q JOIN e r ON q.label = r.label WHERE q.vec_id % 100 = 0)) WHERE rank <= {schema.TOP_K}",
+    "retrieve": retrieval(QUESTION) + f"{SPANS}{PASSAGES} SELECT query_id, passage::INTEGER AS passage, doc_path, section, pages, md5(content) AS content, round(score, 6) AS score FROM passages",
+    "ask_status": retrieval("(doc_id // 100) || ' ' || " + QUESTION) + f"{SPANS}{PASSAGES}, had AS (SELECT DISTINCT query_id AS h FROM passages) SELECT query_id, h IS NOT NULL AND (query_id // 100) % 3 = 0 AS failed, h IS NULL AS no_context FROM asked LEFT JOIN had ON h = query_id",
+    "quiz_prompts": f"{CHUNKS}{BUCKETS}{PLAN}{QUOTAS}, texts AS (SELECT key, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS content FROM plan p JOIN chunks c ON c.document_id = p.document_id AND ordinal BETWEEN first_ordinal AND last_ordinal GROUP BY key), "
+    "picked AS (SELECT concat_ws(' / ', course, lecture) AS scope, row_number() OVER (PARTITION BY course, lecture ORDER BY doc_path, first_ordinal, key) - 1 AS i, label, quota, t.content FROM quotas JOIN texts t USING (key) WHERE quota > 0) "
+    "SELECT scope, md5('Scope: ' || scope || chr(10) || chr(10) || string_agg('[section ' || i || '] ' || label || '; questions wanted: ' || quota || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) || chr(10)) AS prompt FROM picked GROUP BY scope",
+    "quiz_means": f"{CHUNKS}{BUCKETS}{PLAN}, t AS (SELECT concat_ws(' / ', lang, source) AS scope, doc_id || ':0' AS section_key, quality::DOUBLE AS faithfulness FROM documents LEFT JOIN labels USING (doc_id)), h AS (SELECT t.*, p.key IS NOT NULL AS held FROM t LEFT JOIN plan p ON p.key = section_key) "
+    "SELECT scope, count(*) AS n, round(avg(faithfulness), 4) AS faithfulness, count(faithfulness) AS faithfulness_scored, count(*) - count(faithfulness) AS faithfulness_unscored, count(*) FILTER (held) AS with_text FROM h GROUP BY scope",
     "clean_text": f"SELECT page_id, md5({strip(CLEAN)}) AS cleaned FROM pages",
     "doc_type": "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'solution|answer') THEN 'tutorial_soln' WHEN regexp_matches(lower(url), 'tutorial|problem') THEN 'tutorial_q' WHEN regexp_matches(lower(url), 'slide|lecture') THEN 'slides' ELSE 'notes' END AS doc_type FROM pages",
     "footer_detect": f"WITH {PAGES}, {FOOTERS} SELECT document_id, footer FROM footers",
@@ -177,7 +206,7 @@ ORACLE: dict[str, str] = {
     "catalog": f"{CHUNKS} SELECT d.course, doc_path, lecture, count(c.document_id) AS chunks FROM docs d LEFT JOIN chunks c ON c.document_id = d.id GROUP BY ALL",
     "catalog_rollup": f"{CHUNKS}, l AS (SELECT d.course, doc_path, lecture, count(c.document_id) AS chunks FROM docs d LEFT JOIN chunks c ON c.document_id = d.id GROUP BY ALL) SELECT course, sum(chunks)::BIGINT AS chunks, md5(string_agg(doc_path || '=' || chunks, ';' ORDER BY lecture NULLS LAST, doc_path)) AS documents FROM l GROUP BY course",
     "scopes": "SELECT DISTINCT lang AS course, source AS lecture FROM documents WHERE source IS NOT NULL",
-    "course_lectures": "SELECT DISTINCT source AS lecture FROM documents WHERE lang = 'en' AND source <> ''",
+    "course_lectures": "SELECT DISTINCT lang AS course, source AS lecture FROM documents WHERE source <> ''",
     "line_profile": "WITH t AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(CASE WHEN ends_with(coalesce(text, ''), chr(10)) OR coalesce(text, '') = '' THEN string_split(coalesce(text, ''), chr(10))[:-2] ELSE string_split(text, chr(10)) END, lambda x: "
     + strip("x")
     + ") AS l FROM documents) SELECT doc_id, length(text) AS chars, length(text) AS stripped_chars, "
@@ -187,7 +216,7 @@ ORACLE: dict[str, str] = {
     + " FROM t",
     "line_samples": f"WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INTEGER AS n, {strip('line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE {strip('line')} <> '') "
     "SELECT doc_id, 'first' AS kind, n, line[:88] AS line FROM l WHERE n <= 15 " + " ".join(f"UNION ALL SELECT doc_id, '{n}', (row_number() OVER (PARTITION BY doc_id ORDER BY n))::INTEGER AS m, line[:88] FROM l WHERE regexp_matches(line, '{p}') QUALIFY m <= 4" for n, p in _DUCK_PATTERNS.items()),
-    "oversized_split": "WITH RECURSIVE s AS (SELECT doc_id AS k, string_split(text, chr(10))[1] AS title, array_to_string(string_split(text, chr(10))[2:], chr(10)) AS body FROM documents WHERE contains(text, chr(10))), " + packing("s") + " SELECT k AS doc_id, unnest(range(1, len(parts) + 1))::INTEGER AS part, md5(unnest(parts)) AS content FROM done",
+    "oversized_split": "WITH RECURSIVE s AS (SELECT doc_id AS k, string_split(text, chr(10))[1] AS title, array_to_string(string_split(text, chr(10))[2:], chr(10)) AS body FROM documents WHERE text IS NOT NULL), " + packing("s") + " SELECT k AS doc_id, unnest(range(1, len(parts) + 1))::INTEGER AS part, md5(unnest(parts)) AS content FROM done",
     "file_identity": "SELECT page_id, string_split(p, '/')[1] AS course, array_to_string(string_split(p, '/')[2:], '/') AS doc_path, sha256(html) AS content_hash FROM (SELECT page_id, html, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages) WHERE contains(p, '/')",
     "corpus_layout": "SELECT string_split(p, '/')[1] AS course, count(*) AS files FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS p FROM pages) WHERE contains(p, '/') GROUP BY ALL",
     "ingest_counters": f"{CHUNKS} SELECT count(*) FILTER (n > 0) AS ingested, count(*) FILTER (n = 0) AS skipped, sum(n)::BIGINT AS total_chunks FROM (SELECT id, count(c.document_id) AS n FROM docs LEFT JOIN chunks c ON c.document_id = id GROUP BY id)",

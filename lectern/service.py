@@ -9,6 +9,7 @@ import json
 import logging
 import sys
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,9 +21,7 @@ from lectern.sources import store
 
 log = logging.getLogger(__name__)
 
-PAGE = """<!doctype html><meta charset="utf-8"><title>lectern</title>
-<h1>lectern</h1><p>POST /api/ask {"course", "question", "lecture"?} or /api/quiz {"course", "n_questions"?, "lecture"?}; GET /api/courses.</p>
-"""
+PAGE = (Path(__file__).parent / "page.html").read_text() if (Path(__file__).parent / "page.html").exists() else "<!doctype html><title>lectern</title>"
 
 
 class Service:
@@ -30,7 +29,7 @@ class Service:
 
     def __init__(self, spark: SparkSession | None, tables: str, embed=None, dim: int = schema.EMBED_DIM, answers=models.extractive_answers, quizzes=models.extractive_quiz):
         self.spark, self.tables, self.answers, self.quizzes = spark, tables, answers, quizzes
-        self.embed = embed or (models.embedder(dim=dim) if spark is not None else None)
+        self.embed = embed or (models.query_embedder(dim=dim) if spark is not None else None)
 
     def _documents(self):
         return store.read(self.spark, f"{self.tables}/documents", schema.DOCUMENTS)
@@ -52,8 +51,10 @@ class Service:
             return 503, {"detail": "not ready"}
         try:
             asked = self.spark.createDataFrame([(0, course, question, lecture)], "query_id long, course string, question string, lecture string")
-            row = pipelines.ask(asked, self._chunks(), self._documents(), self.embed, generator=self.answers).first()
-            return 200, {"question": question, "course": course, "lecture": lecture, **{k: v for k, v in row.asDict().items() if k != "query_id"}}
+            row = pipelines.ask(asked, self._chunks(), self._documents(), self.embed, generator=self.answers).first().asDict(recursive=True)
+            if row["error"] is not None:
+                raise RuntimeError(row["error"])
+            return 200, {"question": question, "course": course, "lecture": lecture, **{k: v for k, v in row.items() if k not in ("query_id", "error")}}
         except Exception:  # noqa: BLE001 - details go to the log only
             log.exception("ask failed")
             return 502, {"detail": "generation failed"}
@@ -106,7 +107,7 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
 
 
 def main(tables: str, port: int = 8000) -> None:
-    spark = SparkSession.builder.appName("lectern").getOrCreate()
+    spark = SparkSession.builder.appName("lectern").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     ThreadingHTTPServer(("127.0.0.1", port), handler(Service(spark, tables))).serve_forever()
 
 

@@ -1,11 +1,14 @@
-"""The two tables as Parquet folders, and what an ingest does to them.
+"""Tables as Parquet folders under one root, and what an ingest does to them.
 
-Tables are partitioned by course, and replaced course by course: the new rows are written beside
-the old ones and take their place when they are complete, so a failed run leaves the old state.
+Rows lie in <table>/course=<c>/version=<v>. Which versions count is said by the newest manifest, one small file that names
+the folders of every table. A commit writes new folders for the courses that it touches, then one manifest,
+by a rename that fails if another commit was faster. Readers so see all tables of the old state or
+all of the new one, a failed run leaves the old state, and other courses are neither read nor written.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,36 +17,97 @@ from pyspark.sql import types as T
 
 from lectern import schema
 
+LOG = "_manifests"
+
+
+class _Files:
+    """The file system of a path, by way of Spark's own configuration."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.sc, self.hadoop = spark.sparkContext, spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.conf = self.sc._jsc.hadoopConfiguration()
+        self.fs = self.hadoop.Path(root).getFileSystem(self.conf)
+
+    def names(self, pattern: str) -> list[str]:
+        return sorted(f.getPath().toUri().getPath() for f in self.fs.globStatus(self.hadoop.Path(pattern)) or [])
+
+    def text(self, path: str) -> str:
+        opened = self.fs.open(self.hadoop.Path(path))
+        try:
+            return self.sc._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
+        finally:
+            opened.close()
+
+    def put(self, path: str, body: str) -> None:
+        """Write a file that must not exist yet; it appears whole."""
+        draft = self.hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+        out = self.fs.create(draft, False)
+        out.write(bytearray(body.encode()))
+        out.close()
+        target = self.fs.makeQualified(self.hadoop.Path(path))
+        rename = self.sc._gateway.new_array(self.hadoop.Options.Rename, 0)
+        self.hadoop.FileContext.getFileContext(target.toUri(), self.conf).rename(self.fs.makeQualified(draft), target, rename)
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.hadoop.Path(path), True)
+
+
+def _manifests(files: _Files, root: str) -> list[str]:
+    return [n for n in files.names(f"{root}/{LOG}/*") if n.endswith(".json")]
+
+
+def _current(files: _Files, root: str) -> tuple[int, dict[str, list[str]]]:
+    """Number and content of the newest manifest: for each table its folders, relative to the table."""
+    found = _manifests(files, root)
+    if not found:
+        return 0, {}
+    return int(found[-1].rsplit("/", 1)[1].split(".")[0]), json.loads(files.text(found[-1]))
+
 
 def read(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
-    """The table, partitioned by course; empty if it was never written."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    """The table at path, partitioned by course; empty if it was never written."""
+    root, name = path.rstrip("/").rsplit("/", 1)
+    folders = _current(_Files(spark, root), root)[1].get(name, [])
+    if not folders:
         return spark.createDataFrame([], fields)
-    return spark.read.schema(fields).parquet(path)
+    full = T.StructType([*fields.fields, T.StructField("version", T.StringType())])
+    return spark.read.schema(full).option("basePath", path).parquet(*(f"{path}/{f}" for f in folders)).select(*fields.names)
 
 
-def replace_courses(df: DataFrame, path: str, courses: list[str]) -> None:
-    """Write df, which holds all rows of these courses, to a folder of its own, then put it in the place of the courses' old rows.
+def commit(spark: SparkSession, root: str, courses: list[str], **tables: DataFrame) -> None:
+    """Put the given tables in the place of what these courses had there; each holds all rows of the courses, or none.
 
-    Other courses are neither read nor written.
+    A course without rows has none afterwards. Two commits at once: the slower one fails and changes nothing.
     """
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.where(F.col("course").isin(courses)).write.partitionBy("course").parquet(fresh)
-    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.Path(path))
-    fs.mkdirs(hadoop.Path(old))
-    written = [f.getPath().getName() for f in fs.listStatus(hadoop.Path(fresh)) if f.isDirectory()]
-    for name in written:
-        if fs.exists(hadoop.Path(path, name)):
-            fs.rename(hadoop.Path(path, name), hadoop.Path(old, name))
-        fs.rename(hadoop.Path(fresh, name), hadoop.Path(path, name))
-    fs.delete(hadoop.Path(old), True)
-    fs.delete(hadoop.Path(fresh), True)
-    spark.catalog.refreshByPath(path)
+    files, version = _Files(spark, root), uuid.uuid4().hex
+    number, folders = _current(files, root)
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    replaced = {f"course={escape(c)}" for c in courses}
+    fresh = dict(folders)
+    for name, df in tables.items():
+        df.where(F.col("course").isin(courses)).withColumn("version", F.lit(version)).write.mode("append").partitionBy("course", "version").parquet(f"{root}/{name}")
+        written = ["/".join(p.rsplit("/", 2)[1:]) for p in files.names(f"{root}/{name}/course=*/version={version}")]
+        fresh[name] = sorted([f for f in folders.get(name, []) if f.split("/")[0] not in replaced] + written)
+    files.put(f"{root}/{LOG}/{number + 1:012d}.json", json.dumps(fresh))
+    _forget(files, root)
+
+
+def _forget(files: _Files, root: str) -> None:
+    """Delete folders that neither of the two newest manifests names, for readers that began before the last commit."""
+    found = _manifests(files, root)
+    kept = [json.loads(files.text(m)) for m in found[-2:]]
+    used = {(t, f) for m in kept for t, folders in m.items() for f in folders}
+    for old in found[:-2]:
+        for t, folders in json.loads(files.text(old)).items():
+            for f in folders:
+                if (t, f) not in used:
+                    files.delete(f"{root}/{t}/{f}")
+        files.delete(old)
+
+
+def write_json(spark: SparkSession, path: str, body: dict) -> None:
+    """A result of bounded size as one JSON file, which must not exist yet."""
+    _Files(spark, path).put(path, json.dumps(body, indent=2, ensure_ascii=False, default=str))
 
 
 def checked(chunks: DataFrame, dim: int = schema.EMBED_DIM) -> DataFrame:
