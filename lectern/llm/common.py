@@ -7,7 +7,6 @@ a whole batch come from a few numpy passes, never from a Python loop over words.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import shared_dir
+
 #: Word characters are all bytes but these (fixed values: space and \t \n \v \f \r).
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same as a regular expression of Java, DuckDB and Python.
@@ -29,15 +30,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
-    return named or sc.getCheckpointDir()
-
-
 def release(spark: SparkSession) -> None:
     """A hint to collect garbage, which lets Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -59,6 +51,24 @@ def cut(df: DataFrame, rows: int | None = None, per: int = 100_000) -> DataFrame
     return (df if rows is None else gathered(df, rows, per)).checkpoint(eager=True)
 
 
+#: Column of a table of keys: how many rows of the other side a join by the key will find.
+MEMBERS = "__lectern_members"
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has a row a key and says in MEMBERS how many of at most `rows` rows of left have it.
+
+    Keys of more than a two-thousandth of all rows are few, 2,000 at most: they are broadcast, and
+    their rows stay where they are. The rows of any other key go to one task.
+    """
+    limit = max(10_000, rows // 2_000)
+    hot, cold = right.where(F.col(MEMBERS) > limit).drop(MEMBERS), right.where(F.col(MEMBERS) <= limit).drop(MEMBERS)
+    if not hot.limit(1).count():
+        return left.join(right.drop(MEMBERS), on, how)
+    few = F.broadcast(hot)
+    return left.join(few, on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
