@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.sources.shared import shared_dir
@@ -36,12 +36,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def gathered(df: DataFrame, rows: int, per: int = 100_000) -> DataFrame:
-    """df in no more partitions than `rows` rows need, `per` rows each, and twice the cores of the cluster at least.
+def gathered(df: DataFrame, size: int, per: int = 100_000) -> DataFrame:
+    """df in no more partitions than `size` rows or bytes need, `per` each, and twice the cores of the cluster at least.
 
     Without it, a small table is written as a file for each of hundreds of shuffle partitions.
     """
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // per)))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // per)))
 
 
 def cut(df: DataFrame, rows: int | None = None, per: int = 100_000) -> DataFrame:
@@ -238,6 +238,25 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def text_columns(docs: DataFrame, *more: str) -> DataFrame:
+#: A column that holds the columns which an operator carries along, whatever their names and types.
+KEEP = "__lectern_keep"
+
+
+def quoted(name: str) -> str:
+    """A column's name as part of a path."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """The named columns of docs as one column KEEP; none where there are no names."""
+    return [F.struct(*(docs[quoted(c)].alias(f"c{i}") for i, c in enumerate(names))).alias(KEEP)] if names else []
+
+
+def kept_apart(out: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """out with columns keep_<name> instead of KEEP."""
+    return out.select(*(c for c in out.columns if c != KEEP), *(F.col(f"{KEEP}.c{i}").alias(f"keep_{c}") for i, c in enumerate(names)))
+
+
+def text_columns(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id as long, text as string and the named columns: all that an operator reads, so that extra columns of any name do no harm."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -12,7 +12,8 @@ A document is rejected if it has too few words, if too many words lie in repeate
 windows, if repeats cover too large a share of it, or if one repeat is too long.
 
 Cases: null and empty texts have no words and are rejected; equal rows are judged alike;
-documents never share suffixes; an empty table gives an empty result.
+documents never share suffixes; a very long text is a batch of its own, whose arrays take some 20 bytes a
+word and 4 more for every doubling of its longest repeat; columns to carry may have any name and type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import IS_SPACE, flat, mix, slices, span_hashes, text_columns, words_of
+from .common import IS_SPACE, KEEP, carried, flat, kept_apart, mix, slices, span_hashes, text_columns, words_of
 
 MIN_WORDS, MAX_WINDOW_PERCENT = 50, 50
 MIN_REPEAT, MAX_COVERED_PERCENT, MAX_REPEAT = 8, 30, 100
@@ -150,15 +152,16 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
 
     keep: columns of docs to carry along, in their own form, after the verdict.
     """
-    fields = [docs.schema[c] for c in keep]
+    slim = text_columns(docs, *carried(docs, keep))
+    more = [KEEP] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             m = measure(*flat(b["text"]))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(m[c]) for c in COUNTS), *(b[f"keep_{c}"] for c in keep)], names=["doc_id", *COUNTS, *(f"keep_{c}" for c in keep)])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(m[c]) for c in COUNTS), *(b[c] for c in more)], names=["doc_id", *COUNTS, *more])
 
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), *(f"keep_{f.name} {f.dataType.simpleString()}" for f in fields)])
-    out = text_columns(docs, *(F.col(c).alias(f"keep_{c}") for c in keep)).mapInArrow(run, schema)
+    fields = [T.StructField(c, T.LongType()) for c in ("doc_id", *COUNTS)]
+    out = kept_apart(slim.mapInArrow(run, T.StructType([*fields, *(slim.schema[c] for c in more)])), keep)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_WINDOW_PERCENT * F.col("n_words"))
     repetitive = (100 * F.col("covered_words") > MAX_COVERED_PERCENT * F.col("n_words")) | (F.col("longest_repeat") > MAX_REPEAT)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~repetitive)

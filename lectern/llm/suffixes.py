@@ -7,23 +7,25 @@ GRAM-byte substrings (winnowing, Schleimer et al. 2003), so equal strings have e
 at equal places, and neighbouring strings mostly share one. The strings of one anchor form a
 run, and the bytes they cover its context.
 
-1. Documents are packed into blocks. Each block sends every anchor it holds, with a hash of
-   the context and its first document, to a bucket of the anchor's hash.
-2. A bucket finds anchors of several documents. Where contexts agree, each block whose first
-   document is later than the first of all learns that the whole run is known. Of anchors with
-   differing contexts, one block sends each context, or several where they begin with one doc_id.
-3. The suffixes of these contexts, cut to SPAN bytes, are sorted: multikey quicksort, eight
-   bytes a step, to a shallow depth; then blind tries order the groups that agree so far. Neighbours that
-   share SPAN bytes are one string; its first document is known, and every block learns which
-   strings of its contexts stand in an earlier one.
+1. Documents are packed into blocks. Runs of one block with equal contexts, byte by byte, are one
+   entry. Each block sends a hash of every entry's anchor to a bucket of that hash.
+2. A bucket answers which anchors it met more than once. Hashes only choose candidates: whatever
+   is removed later was compared byte by byte.
+3. Every entry of such an anchor is sent with its context, and the contexts are sorted: multikey
+   quicksort, eight bytes a step, to a shallow depth; then groups that agree so far are compared to their ends,
+   and blind tries order those that do not agree. Of equal contexts the first document is
+   known. Where an anchor has contexts that differ, their suffixes, cut to SPAN bytes, are sorted in the same way, and
+   neighbours that share SPAN bytes are one string. Every block learns which strings of its entries stand in an
+   earlier document.
 4. Each block removes the covered bytes.
 
-Anchors with more than HOT contexts send their strings one by one, dealt by the string and
-once a block, so that no anchor's contexts need to fit into one task.
+Anchors with more than HOT entries send their strings one by one, dealt by the string, so that no
+anchor's contexts need to fit into one task. Blocks grow with the corpus, so that there are 16,000 or
+so at most below a corpus of 1 TB; a string that all of them hold makes as many short rows in one task.
 
 Cases: null text is empty; texts shorter than SPAN lose nothing; equal doc_ids do not remove
-each other's bytes; rows with a null doc_id neither lose nor remove anything; an empty table
-gives an empty result.
+each other's bytes; rows with a null doc_id neither lose nor remove anything; very long texts are
+handled in pieces, their strings all the same; columns to carry may have any name and type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,14 +39,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import binary_column, cut, flat, gathered, mix, power_tables, release, slices, span_hashes, text_columns
+from .common import KEEP, binary_column, carried, cut, flat, gathered, kept_apart, mix, power_tables, release, slices, span_hashes, text_columns
 
 SPAN, GRAM = 50, 19
 WINDOW = SPAN - GRAM + 1
 SHALLOW = 32
-BLOCK = 2 << 20
+#: Bytes of text of a block: a 16,000th of the corpus within these bounds.
+BLOCK, LARGE_BLOCK, BLOCKS = 2 << 20, 64 << 20, 16_000
 HOT = 20_000
+#: Bits of the hashes of contexts by which runs of one block are compared.
+CONTEXT_BITS = 48
 #: Bytes of compressed text for each bucket of anchors and of contexts.
 ANCHOR_BUCKET, CONTEXT_BUCKET = 8 << 20, 2 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -111,20 +117,25 @@ def runs_of(buf: np.ndarray, off: np.ndarray, piece: int = 1 << 20) -> Runs:
     return Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def blind_trie_order(strings: list[bytes]) -> list[int]:
-    """The order of distinct strings of one length, by a blind trie.
+def blind_trie(strings: list[bytes]) -> list[list[int]]:
+    """The numbers of strings of one length in order, equal ones together, by a blind trie.
 
     A node holds only the number of the first bit in which its two branches differ. A string goes down
     by its bits at those places alone, is compared once, with the string of the leaf it
-    reaches, and is inserted where the two differ.
+    reaches, and joins it or is inserted where the two differ.
     """
     width = 8 * len(strings[0])
     numbers = [int.from_bytes(s, "big") for s in strings]
+    same: dict[int, list[int]] = {0: [0]}
     root: list | int = 0
     for i in range(1, len(numbers)):
         x, node = numbers[i], root
         while not isinstance(node, int):
             node = node[1 + (x >> (width - 1 - node[0]) & 1)]
+        if x == numbers[node]:
+            same[node].append(i)
+            continue
+        same[i] = [i]
         differ = width - (x ^ numbers[node]).bit_length()
         above, node = None, root
         while not isinstance(node, int) and node[0] < differ:
@@ -138,57 +149,95 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     while stack:
         node = stack.pop()
         if isinstance(node, int):
-            out.append(node)
+            out.append(same[node])
         else:
             stack += [node[2], node[1]]
     return out
 
 
-def same_strings(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sort the SPAN-byte strings at `start` and number the distinct ones in their order.
+def blind_trie_order(strings: list[bytes]) -> list[int]:
+    """The order of strings of one length."""
+    return [i for leaf in blind_trie(strings) for i in leaf]
+
+
+def _heads(new: np.ndarray) -> np.ndarray:
+    """The place of the last set flag at or before each place."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
-    Multikey quicksort on words of eight bytes to depth SHALLOW, then a blind trie for each
-    group that has not parted.
+
+def multikey_quicksort(buf: np.ndarray, start: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """place of every string, where its class begins in the order, and the strings that did not part within `limit` bytes, class by class.
+
+    Strings are compared within their groups, the eight bytes at a group's depth at a time. Each step divides every
+    group in three by the word of its middle string: less, equal, more; where equal, the depth grows. buf ends with 8 bytes of padding.
     """
-    n = len(start)
     eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
-    place = np.zeros(n, np.int64)  # where the group of each string begins in the order
-    active = np.arange(n)
-    for depth in range(0, SHALLOW, 8):
+    place, deep = np.zeros(len(start), np.int64), []
+    active = np.argsort(group, kind="stable")
+    new = np.ones(len(active), bool)
+    new[1:] = group[active][1:] != group[active][:-1]
+    base, depth = _heads(new), np.zeros(len(active), np.int64)
+    place[active] = base
+
+    def several(*columns: np.ndarray) -> list[np.ndarray]:
+        size = np.diff(np.append(np.flatnonzero(new), len(new)))
+        keep = np.repeat(size > 1, size)
+        return [c[keep] for c in columns]
+
+    active, base, depth = several(active, base, depth)
+    while len(active):
+        new = np.ones(len(active), bool)
+        new[1:] = base[1:] != base[:-1]
         word = np.ascontiguousarray(eight[start[active] + depth]).view(">u8").ravel().astype(np.uint64)
-        o = np.lexsort((word, place[active]))
-        sub, word = active[o], word[o]
-        group = place[sub]
-        new = np.ones(len(sub), bool)
-        new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(sub)), 0))
-        old = np.ones(len(sub), bool)
-        old[1:] = group[1:] != group[:-1]
-        base = np.maximum.accumulate(np.where(old, np.arange(len(sub)), 0))
-        place[sub] = group + head - base
-        size = np.diff(np.append(np.flatnonzero(new), len(sub)))
-        active = sub[np.repeat(size > 1, size)]
-        if not len(active):
-            return place
-    # Groups here agree on SHALLOW bytes. Equal strings share a leaf; the leaves are ordered by tries.
-    tail = span_hashes(buf, start[active] + SHALLOW, start[active] + SPAN)
-    o = np.lexsort((tail, place[active]))
-    sub, tail, group = active[o], tail[o], place[active][o]
-    new, old = np.ones(len(sub), bool), np.ones(len(sub), bool)
-    old[1:] = group[1:] != group[:-1]
-    new[1:] = old[1:] | (tail[1:] != tail[:-1])
-    leaf, heads = np.cumsum(new) - 1, np.flatnonzero(new)
-    sizes = np.diff(np.append(heads, len(sub)))
-    leaf_group = (np.cumsum(old) - 1)[heads]
-    place_of = group[heads].copy()
-    several = np.flatnonzero(np.bincount(leaf_group) > 1)
-    lows, highs = np.searchsorted(leaf_group, several), np.searchsorted(leaf_group, several, "right")
-    text = buf.tobytes()
-    at = start[sub[heads]] + SHALLOW
-    for lo, hi in zip(lows.tolist(), highs.tolist(), strict=True):
-        order = lo + np.array(blind_trie_order([text[p : p + SPAN - SHALLOW] for p in at[lo:hi].tolist()]))
-        place_of[order] = place_of[lo] + np.concatenate(([0], np.cumsum(sizes[order])[:-1]))
-    place[sub] = place_of[leaf]
+        first = np.flatnonzero(new)
+        number = np.cumsum(new) - 1
+        pivot = word[first + np.diff(np.append(first, len(new))) // 2][number]
+        side = 3 * number + 1 + (word > pivot) - (word < pivot)
+        o = np.argsort(side, kind="stable")
+        old, side = _heads(new), side[o]
+        new[1:] = side[1:] != side[:-1]
+        active, depth = active[o], depth[o] + 8 * (side % 3 == 1)
+        base = base + _heads(new) - old
+        place[active] = base
+        active, base, depth = several(active, base, depth)
+        done = depth >= limit
+        deep.append(active[done])
+        active, base, depth = active[~done], base[~done], depth[~done]
+    deep = np.concatenate(deep) if deep else np.zeros(0, np.int64)
+    return place, deep[np.argsort(place[deep], kind="stable")]
+
+
+def same_strings(buf: np.ndarray, start: np.ndarray, length: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
+    """Sort strings and number the distinct ones of each group in their order. buf ends with 8 bytes of padding.
+
+    length: SPAN by default, and at least that; one length a group. group: numbers that equal strings share; one group by default.
+    Deep-shallow: a multikey quicksort to depth SHALLOW; classes that did not part are compared with their first
+    string to the end, and those not all equal are ordered by a blind trie.
+    """
+    length = np.full(len(start), SPAN) if length is None else length
+    place, deep = multikey_quicksort(buf, start, np.zeros(len(start), np.int64) if group is None else group, SHALLOW)
+    if not len(deep):
+        return place
+    new = np.ones(len(deep), bool)
+    new[1:] = place[deep][1:] != place[deep][:-1]
+    head = deep[_heads(new)]
+    rest = np.arange(int(length[deep].max()) - SHALLOW)
+    equal = np.ones(len(deep), bool)
+    for lo in range(0, len(deep), 1 << 14):
+        mine, other = deep[lo : lo + (1 << 14)], head[lo : lo + (1 << 14)]
+        # What lies beyond a string's end is compared with itself.
+        at = np.minimum(rest, (length[mine] - SHALLOW - 1)[:, None]) + SHALLOW
+        equal[lo : lo + (1 << 14)] = (buf[start[mine][:, None] + at] == buf[start[other][:, None] + at]).all(1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(deep))
+    parted = np.flatnonzero(np.logical_and.reduceat(equal, first) == 0)
+    text = buf.tobytes() if len(parted) else b""
+    for lo, hi in zip(first[parted].tolist(), last[parted].tolist(), strict=True):
+        mine = deep[lo:hi]
+        at = int(place[mine[0]])
+        for leaf in blind_trie([text[p + SHALLOW : p + n] for p, n in zip(start[mine].tolist(), length[mine].tolist(), strict=True)]):
+            place[mine[leaf]] = at
+            at += len(leaf)
     return place
 
 
@@ -202,53 +251,69 @@ def _wide(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _bytes_at(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of n bytes from each of first on, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Block:
-    """The documents of a block in order of doc_id, and what all steps derive from them alike."""
+    """The documents of a block in order of doc_id, and what all steps derive from them alike.
+
+    entry: the number of each run's entry; runs of one entry have equal contexts. where: the first run of each entry.
+    """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, context_bits: int = CONTEXT_BITS):
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.off = np.frombuffer(row["off"], np.int64)
         size = int(self.off[-1])
         self.buf = np.frombuffer(pa.decompress(row["data"], size, codec="zstd"), np.uint8) if size else np.zeros(0, np.uint8)
-        self.runs = runs_of(self.buf, self.off)
-        self.keys, self.where = np.unique(self.runs.key, return_index=True)
-        #: The first document of each distinct key.
-        self.first_doc = self.ids[self.runs.row[self.where]]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of keys that the block is known to hold."""
-        return np.searchsorted(self.keys, keys)
-
-    def single_strings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The strings of the given distinct runs one by one: entry, number in the run, hash, and the place among these
-        of the one that speaks for all equal strings, which is of their first document here."""
-        run = self.where[entries]
-        count = self.runs.last[run] - self.runs.first[run] + 1
-        entry = np.repeat(entries, count)
-        number = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-        start = self.runs.first[self.where[entry]] + number
-        h = span_hashes(self.buf, start, start + SPAN)
-        o = np.lexsort((self.first_doc[entry], h))
-        new = np.ones(len(o), bool)
-        new[1:] = h[o][1:] != h[o][:-1]
-        speaker = np.empty(len(o), np.int64)
-        speaker[o] = o[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(o) else o
-        return entry, number, h, speaker
-
-
-def _pack(docs: DataFrame, carry: tuple[str, ...], most: int) -> DataFrame:
-    """Blocks: block (its partition and its number there), ids, off, data (compressed), more (the carried columns)."""
+        self.runs = runs = runs_of(self.buf, self.off)
+        key = mix(runs.anchor * np.uint64(0xD6E8FEB86659FD93) + (runs.context >> np.uint64(48 - context_bits)))
+        _, self.where, self.entry = np.unique(key, return_index=True, return_inverse=True)
+        self._part()
+        #: The first document of each entry.
+        self.first_doc = self.ids[runs.row[self.where]]
+
+    def _part(self) -> None:
+        """Give runs an entry of their own whose bytes are not those of their entry's first run, although their hashes are."""
+        runs, head = self.runs, self.where[self.entry]
+        again = np.flatnonzero(head != np.arange(len(head)))
+        size = runs.last - runs.first + SPAN
+        equal = size[again] == size[head[again]]
+        equal &= runs.place[again] - runs.first[again] == (runs.place - runs.first)[head[again]]
+        for lo in range(0, len(again), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            i = np.flatnonzero(equal[part]) + lo
+            n = size[again[i]]
+            same = self.buf[_bytes_at(runs.first[again[i]], n)] == self.buf[_bytes_at(runs.first[head[again[i]]], n)]
+            if len(i):
+                equal[i] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        other = again[~equal]
+        self.entry[other] = len(self.where) + np.arange(len(other))
+        self.where = np.concatenate((self.where, other))
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries, dealt to buckets by their anchors, and where those of each bucket end."""
+        bucket = (mix(self.runs.anchor[self.where]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _pack(docs: DataFrame, size: int, most: int) -> DataFrame:
+    """Blocks: block (its partition and its number there), ids, off, data (compressed), more (the carried column). size: bytes of all texts."""
+    carry = [c for c in docs.columns if c == KEEP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, partition, numbers = [], 0, TaskContext.get().partitionId(), count()
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            t = t.take(pa.array(np.argsort(t["doc_id"].to_numpy(), kind="stable")))
+            by_id = np.argsort(t["doc_id"].to_numpy(), kind="stable")
+            t = t.take(pa.array(by_id))
             buf, off = flat(t["text"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.select(list(carry)).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(t.select(list(carry)))
+            with pa.ipc.new_stream(sink, t.select(carry).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(t.select(carry))
             ids, data = t["doc_id"].to_numpy().tobytes(), pa.compress(buf.tobytes(), codec="zstd", asbytes=True)
             return pa.RecordBatch.from_pydict({"block": [partition << 32 | next(numbers)], "ids": [ids], "off": [off.astype(np.int64).tobytes()], "data": [data], "more": [sink.getvalue().to_pybytes()]})
 
@@ -261,11 +326,8 @@ def _pack(docs: DataFrame, carry: tuple[str, ...], most: int) -> DataFrame:
         if held:
             yield block()
 
-    cols = [F.col(c).alias(f"keep_{c}") for c in carry]
-    schema = "block long, ids binary, off binary, data binary, more binary"
-    carry = tuple(f"keep_{c}" for c in carry)
     # Few partitions make whole blocks of small tables too.
-    return gathered(text_columns(docs, *cols).where("doc_id IS NOT NULL"), docs.count(), 5_000).mapInArrow(run, schema)
+    return gathered(docs.where("doc_id IS NOT NULL"), size, 16 << 20).mapInArrow(run, "block long, ids binary, off binary, data binary, more binary")
 
 
 def _dealt(bucket: np.ndarray, n: int, columns: list[Callable[[np.ndarray], list]]) -> dict:
@@ -276,146 +338,152 @@ def _dealt(bucket: np.ndarray, n: int, columns: list[Callable[[np.ndarray], list
     return {"bucket": used} | {k: [f(order[ends[b] : ends[b + 1]]) for b in used] for k, f in columns.items()}
 
 
-def _anchors(blocks: DataFrame, buckets: int) -> DataFrame:
+def _anchors(blocks: DataFrame, buckets: int, width: int, bits: int | None) -> DataFrame:
+    """For each block and bucket the anchors of its entries, `width` bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 k = Block(row)
-                h, c = k.runs.anchor[k.where], k.runs.context[k.where]
-                base = int(k.ids[0])
-                width = 4 if int(k.ids[-1]) - base < 1 << 32 else 8
-                doc = (k.first_doc - base).astype(np.uint64)
-                rows = _dealt(
-                    (mix(h) % np.uint64(buckets)).astype(np.int64), buckets,
-                    {"data": lambda i, h=h, c=c, doc=doc, width=width: _narrow(h[i], 5) + _narrow(c[i], 6) + _narrow(doc[i], width)},
-                )
-                n = len(rows["bucket"])
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), "block": pa.array([row["block"]] * n, pa.int64()), "base": pa.array([base] * n, pa.int64()), "width": pa.array([width] * n, pa.int64()), "data": pa.array(rows["data"], pa.binary())})
+                order, ends = k.dealt(buckets)
+                h = _hashed(k.runs.anchor[k.where[order]], bits)
+                used = np.flatnonzero(np.diff(ends))
+                data = [_narrow(h[ends[i] : ends[i + 1]], width) for i in used]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int64()), "block": pa.array([row["block"]] * len(used), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    return blocks.select("block", "ids", "off", "data").mapInArrow(run, "bucket long, block long, data binary")
 
-    return blocks.select("block", "ids", "off", "data").mapInArrow(run, "bucket long, block long, base long, width long, data binary")
 
+def _hashed(anchor: np.ndarray, bits: int | None) -> np.ndarray:
+    """The part of an anchor's hash by which anchors are met; fewer bits, for tests, make unlike anchors meet."""
+    return anchor if bits is None else anchor & np.uint64((1 << bits) - 1)
 
-#: What a block learns of a run: all its strings stand in an earlier document; send its context; send its strings one by one.
-KNOWN, SEND, SEND_STRINGS = 1, 2, 3
 
+def _judge_anchors(hot: int, width: int) -> Callable[[pa.Table], pa.Table]:
+    """Which entries of each block have an anchor that another entry has too (met), and which anchors have more than `hot` (hot); bits in the order sent."""
 
-def _judge_anchors(hot: int) -> Callable[[pa.Table], pa.Table]:
     def judge(t: pa.Table) -> pa.Table:
-        hs, cs, ds, bs = [], [], [], []
-        block = t["block"].to_numpy()
-        for i, (base, width, data) in enumerate(zip(t["base"].to_pylist(), t["width"].to_pylist(), t["data"].to_pylist(), strict=True)):
-            n = len(data) // (11 + width)
-            hs.append(_wide(data[: 5 * n], 5))
-            cs.append(_wide(data[5 * n : 11 * n], 6))
-            ds.append(_wide(data[11 * n :], width).astype(np.int64) + base)
-            bs.append(np.full(n, i, np.int32))
-        h, c, d, b = map(np.concatenate, (hs, cs, ds, bs))
+        data = t["data"].to_pylist()
+        h = np.concatenate([_wide(x, width) for x in data])
+        ends = np.cumsum([len(x) // width for x in data])
         o = np.argsort(h, kind="stable")
-        twice = np.zeros(len(o), bool)
-        same = h[o][1:] == h[o][:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        o = o[twice]
-        o = o[np.lexsort((d[o], c[o], h[o]))]
-        h, c, d, b = h[o], c[o], d[o], b[o]
-        new_h, new_c = np.ones(len(o), bool), np.ones(len(o), bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
-        anchor = np.cumsum(new_h) - 1
-        # A block that begins with the least document too keeps its bytes, and asks for itself what stands in other contexts.
-        first = d == d[np.maximum.accumulate(np.where(new_c, np.arange(len(o)), 0))]
-        contexts, sent = (np.bincount(anchor, x)[anchor] if len(o) else np.zeros(0) for x in (new_c, first))
-        say = np.where(~first, KNOWN, np.where(contexts <= 1, 0, np.where(sent > hot, SEND_STRINGS, SEND)))
-        use = np.flatnonzero(say)
-        key, say, b = mix(h[use] * np.uint64(0xD6E8FEB86659FD93) + c[use]), say[use].astype(np.uint8), b[use]
-        rows = _dealt(b.astype(np.int64), len(block), {"keys": lambda i: key[i].tobytes(), "bits": lambda i: say[i].tobytes()})
-        return pa.table({"block": pa.array(block[rows["bucket"]]), "keys": pa.array(rows["keys"], pa.binary()), "bits": pa.array(rows["bits"], pa.binary())})
+        new = np.ones(len(o), bool)
+        new[1:] = h[o][1:] != h[o][:-1]
+        many = np.empty(len(o), np.int64)
+        many[o] = np.diff(np.append(np.flatnonzero(new), len(o)))[np.cumsum(new) - 1]
+        pieces = [many[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        some = [i for i, m in enumerate(pieces) if (m > 1).any()]
+        bits = lambda f: pa.array([np.packbits(f(pieces[i])).tobytes() for i in some], pa.binary())
+        return pa.table({"block": t["block"].take(pa.array(some, pa.int64())), "bucket": t["bucket"].take(pa.array(some, pa.int64())), "met": bits(lambda m: m > 1), "hot": bits(lambda m: m > hot)})
 
     return judge
 
 
-def _news(t: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64), np.frombuffer(b"".join(t["bits"].to_pylist()), kind)
-
+#: What a block sends of its entries: for each its number, first document, strings, the place of its anchor, what it is grouped by, and its bytes.
+SENT = T.StructType([T.StructField(n, T.LongType() if n in ("bucket", "block", "n") else T.BinaryType()) for n in ("bucket", "block", "n", "entries", "docs", "shift", "strings", "anchor", "sort", "text")])
+_SENT = pa.schema([(f.name, pa.int64() if f.dataType == T.LongType() else pa.binary()) for f in SENT.fields])
 
-def _contexts(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("shift", pa.binary()), ("strings", pa.binary()), ("text", pa.binary())])
 
+def _contexts(buckets: int, anchor_buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [schema.empty_table()]
-        keys, say = _news(right, np.uint8)
-        for row in left.to_pylist() if (say != KNOWN).any() else []:
+        out = [_SENT.empty_table()]
+        told = {r["bucket"]: r for r in right.to_pylist()}
+        for row in left.to_pylist() if told else []:
             k = Block(row)
-            entry = k.find(keys[say == SEND])
-            run = k.where[entry]
-            single, number, string, speaker = k.single_strings(np.sort(k.find(keys[say == SEND_STRINGS])))
-            speaks = np.flatnonzero(speaker == np.arange(len(speaker)))
-            single, number, string = single[speaks], number[speaks], string[speaks]
-            first = np.concatenate((k.runs.first[run], k.runs.first[k.where[single]] + number))
-            count = np.concatenate((k.runs.last[run] - k.runs.first[run] + 1, np.ones(len(single), np.int64)))
-            shift = np.concatenate((np.zeros(len(run), np.int64), number)).astype(np.uint8)
-            deal = np.concatenate((mix(k.runs.anchor[run]), mix(string)))
-            entry = np.concatenate((entry, single))
-
-            def text(i, first=first, count=count, buf=k.buf):
-                n = count[i] + SPAN - 1
-                at = np.repeat(first[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                return buf[at].tobytes()
-
-            rows = _dealt(
-                (deal % np.uint64(buckets)).astype(np.int64), buckets,
-                {"keys": lambda i, k=k, e=entry: k.keys[e[i]].tobytes(), "docs": lambda i, k=k, e=entry: k.first_doc[e[i]].tobytes(), "shift": lambda i, s=shift: s[i].tobytes(), "strings": lambda i, c=count: c[i].astype(np.uint8).tobytes(), "text": text},
-            )
-            out.append(pa.table({"bucket": rows["bucket"], "block": [row["block"]] * len(rows["bucket"])} | {c: rows[c] for c in schema.names[2:]}, schema=schema))
+            runs = k.runs
+            order, ends = k.dealt(anchor_buckets)
+            met, hot = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            for i, r in told.items():
+                a, b = ends[i], ends[i + 1]
+                for flags, name in ((met, "met"), (hot, "hot")):
+                    flags[order[a:b]] = np.unpackbits(np.frombuffer(r[name], np.uint8), count=b - a).astype(bool)
+            whole, single = np.flatnonzero(met & ~hot), np.flatnonzero(hot)
+            run, one = k.where[whole], k.where[single]
+            count = runs.last[one] - runs.first[one] + 1
+            number = _bytes_at(np.zeros(len(one), np.int64), count)
+            one, single = np.repeat(one, count), np.repeat(single, count)
+            first = np.concatenate((runs.first[run], runs.first[one] + number))
+            strings = np.concatenate((runs.last[run] - runs.first[run] + 1, np.ones(len(one), np.int64)))
+            shift = np.concatenate((np.zeros(len(run), np.int64), number))
+            anchor = np.concatenate((runs.place[run], runs.place[one])) - first
+            # Equal strings have equal anchors, so that strings are only ever compared within one.
+            deal = np.concatenate((mix(runs.anchor[run]), mix(span_hashes(k.buf, first[len(run) :], first[len(run) :] + SPAN) + _SALT)))
+            entry = np.concatenate((whole, single))
+            fields = {"entries": (entry, "<u4"), "docs": (k.first_doc[entry], "<i8"), "shift": (shift, "u1"), "strings": (strings, "u1"), "anchor": (anchor, "u1"), "sort": (deal >> np.uint64(32), "<u4")}
+
+            def text(i, first=first, n=strings + SPAN - 1, buf=k.buf):
+                return pa.compress(buf[_bytes_at(first[i], n[i])].tobytes(), codec="zstd", asbytes=True)
+
+            columns = {c: lambda i, x=x, kind=kind: x[i].astype(kind).tobytes() for c, (x, kind) in fields.items()}
+            rows = _dealt((deal % np.uint64(buckets)).astype(np.int64), buckets, {"n": lambda i, n=strings: int((n[i] + SPAN - 1).sum()), **columns, "text": text})
+            out.append(pa.table({"bucket": rows["bucket"], "block": [row["block"]] * len(rows["bucket"])} | {c: rows[c] for c in _SENT.names[2:]}, schema=_SENT))
         return pa.concat_tables(out)
 
     return send
 
 
+def _earlier(place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of equal things by document, the first of each class in it, and the least document of everything's class."""
+    o = np.lexsort((doc, place))
+    new = np.ones(len(o), bool)
+    new[1:] = place[o][1:] != place[o][:-1]
+    first = o[np.flatnonzero(new)]
+    least = np.empty(len(o), np.int64)
+    least[o] = doc[first][np.cumsum(new) - 1]
+    return o, first, least
+
+
 def _sort_contexts(t: pa.Table) -> pa.Table:
-    """Which strings of each context stand in a document before its own, as bits."""
+    """Which strings of each entry stand in a document before its own, as bits."""
     block = t["block"].to_numpy()
     join = lambda name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind)
-    key, doc, shift, count = join("keys", np.uint64), join("docs", np.int64), join("shift", np.uint8), join("strings", np.uint8).astype(np.int64)
+    entry, doc, shift, strings, anchor, sort = join("entries", "<u4"), join("docs", np.int64), join("shift", np.uint8), join("strings", np.uint8).astype(np.int64), join("anchor", np.uint8).astype(np.int64), join("sort", "<u4").astype(np.int64)
     owner = np.repeat(np.arange(len(block)), [len(x) for x in t["shift"].to_pylist()])
-    size = count + SPAN - 1
+    size = strings + SPAN - 1
     base = np.cumsum(size) - size
-    buf = np.concatenate((join("text", np.uint8), np.zeros(8, np.uint8)))
-    ctx = np.repeat(np.arange(len(key)), count)
-    number = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-    place = same_strings(buf, base[ctx] + number)
-    o = np.lexsort((doc[ctx], place))
-    new = np.ones(len(o), bool)
-    new[1:] = place[o][1:] != place[o][:-1]
-    least = np.repeat(doc[ctx][o][new], np.diff(np.append(np.flatnonzero(new), len(o))))
-    earlier = np.zeros(len(o), bool)
-    earlier[o] = least < doc[ctx][o]
-    bits = np.zeros(len(key), np.uint32)
-    np.bitwise_or.at(bits, ctx[earlier], np.uint32(1) << (number[earlier] + shift[ctx[earlier]]).astype(np.uint32))
+    texts = [np.frombuffer(pa.decompress(x, n, codec="zstd"), np.uint8) for x, n in zip(t["text"].to_pylist(), t["n"].to_pylist(), strict=True)]
+    buf = np.concatenate((*texts, np.zeros(8, np.uint8)))
+    del texts
+    # Whole contexts first: of equal ones, all but those of the first document are known.
+    place = same_strings(buf, base, size, (sort << 14) + (strings << 7) + anchor)
+    _, first, least = _earlier(place, doc)
+    bits = np.where(least < doc, (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1), np.uint64(0))
+    # Then the strings of contexts that differ, where an anchor has several.
+    several = np.bincount(np.unique(sort[first], return_inverse=True)[1])[np.unique(sort[first], return_inverse=True)[1]] > 1 if len(first) else np.zeros(0, bool)
+    one = first[several]
+    ctx = np.repeat(one, strings[one])
+    number = _bytes_at(np.zeros(len(one), np.int64), strings[one])
+    if len(ctx):
+        place_of = same_strings(buf, base[ctx] + number, None, (sort[ctx] << 7) + anchor[ctx] - number + 32)
+        before = _earlier(place_of, least[ctx])[2]
+        # What stands before the first document of a context stands before all of them; and in the first itself only if it is earlier.
+        found = np.zeros(len(size), np.uint64)
+        np.bitwise_or.at(found, ctx[before < least[ctx]], np.uint64(1) << number[before < least[ctx]].astype(np.uint64))
+        of_class = np.zeros(int(place.max()) + 1, np.uint64)
+        of_class[place[one]] = found[one]
+        bits |= of_class[place]
+    bits = (bits << shift.astype(np.uint64)).astype(np.uint32)
     use = np.flatnonzero(bits)
-    rows = _dealt(owner[use], len(block), {"keys": lambda i: key[use[i]].tobytes(), "bits": lambda i: bits[use[i]].tobytes()})
-    return pa.table({"block": pa.array(block[rows["bucket"]]), "keys": pa.array(rows["keys"], pa.binary()), "bits": pa.array(rows["bits"], pa.binary())})
-
-
-def _covered(k: Block, keys: np.ndarray, say: np.ndarray, late_keys: np.ndarray, late_bits: np.ndarray) -> np.ndarray:
-    """Which bytes of the block's text are covered by strings of earlier documents."""
-    all_, bits = np.zeros(len(k.keys), bool), np.zeros(len(k.keys), np.uint32)
-    all_[k.find(keys[say == KNOWN])] = True
-    np.bitwise_or.at(bits, k.find(late_keys), late_bits)
-    entry, number, _, speaker = k.single_strings(np.sort(k.find(keys[say == SEND_STRINGS])))
-    known = (bits[entry[speaker]] >> number[speaker].astype(np.uint32)) & np.uint32(1) > 0
-    known |= k.first_doc[entry[speaker]] < k.first_doc[entry]
-    np.bitwise_or.at(bits, entry[known], np.uint32(1) << number[known].astype(np.uint32))
-    own = np.searchsorted(k.keys, k.runs.key)
-    whole = all_[own] | (k.ids[k.runs.row] > k.first_doc[own])
+    rows = _dealt(owner[use], len(block), {"entries": lambda i: entry[use[i]].tobytes(), "bits": lambda i: bits[use[i]].tobytes()})
+    return pa.table({"block": pa.array(block[rows["bucket"]]), "entries": pa.array(rows["entries"], pa.binary()), "bits": pa.array(rows["bits"], pa.binary())})
+
+
+def _covered(k: Block, entries: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which bytes of the block's text are covered by strings of earlier documents. found: bits of the strings of entries."""
+    bits = np.zeros(len(k.where), np.uint32)
+    np.bitwise_or.at(bits, entries, found)
+    runs = k.runs
+    full = ((np.uint64(1) << (runs.last - runs.first + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    mine = np.where(k.ids[runs.row] > k.first_doc[k.entry], full, bits[k.entry])
+    whole = mine == full
     step = np.zeros(len(k.buf) + 1, np.int32)
-    np.add.at(step, k.runs.first[whole], 1)
-    np.add.at(step, k.runs.last[whole] + SPAN, -1)
-    part = np.flatnonzero(~whole & (bits[own] > 0))
+    np.add.at(step, runs.first[whole], 1)
+    np.add.at(step, runs.last[whole] + SPAN, -1)
+    part = np.flatnonzero(~whole & (mine > 0))
     for i in range(WINDOW):
-        on = part[(bits[own[part]] >> np.uint32(i)) & np.uint32(1) > 0]
-        np.add.at(step, k.runs.first[on] + i, 1)
-        np.add.at(step, k.runs.first[on] + i + SPAN, -1)
+        on = part[(mine[part] >> np.uint32(i)) & np.uint32(1) > 0]
+        np.add.at(step, runs.first[on] + i, 1)
+        np.add.at(step, runs.first[on] + i + SPAN, -1)
     return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
@@ -436,12 +504,11 @@ def _running(flags: np.ndarray) -> np.ndarray:
 
 def _finish(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        tell = right.filter(pa.compute.equal(right["late"], False)) if right.num_rows else right
-        late = right.filter(right["late"]) if right.num_rows else right
+        join = lambda name, kind: np.frombuffer(b"".join(right[name].to_pylist()), kind)
         out = []
         for row in left.to_pylist():
             k = Block(row)
-            gone = _covered(k, *_news(tell, np.uint8), *_news(late, np.uint32))
+            gone = _covered(k, join("entries", "<u4"), join("bits", np.uint32))
             total = _running(gone)
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
@@ -458,45 +525,46 @@ def _finish(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 data = kept.tobytes()
                 cols["kept_sha256"] = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(left_off[:-1].tolist(), left_off[1:].tolist(), strict=True)]
             more = pa.ipc.open_stream(row["more"]).read_all()
-            out.append(pa.table(cols | {c: more[c] for c in more.column_names}))
+            out.append(pa.table(cols | {c: more[c].combine_chunks() for c in more.column_names}))
         return pa.concat_tables(out)
 
     return finish
 
 
-def _resolve(blocks: DataFrame, buckets: int, hot: int) -> DataFrame:
-    news = "block long, keys binary, bits binary"
-    return cut(_anchors(blocks, buckets).groupBy("bucket").applyInArrow(_judge_anchors(hot), news), buckets, 2)
+def _resolve(blocks: DataFrame, buckets: int, hot: int, width: int, bits: int | None) -> DataFrame:
+    return cut(_anchors(blocks, buckets, width, bits).groupBy("bucket").applyInArrow(_judge_anchors(hot, width), "block long, bucket long, met binary, hot binary"), buckets, 2)
 
 
-def _resolve_rest(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
-    sent = "bucket long, block long, keys binary, docs binary, shift binary, strings binary, text binary"
+def _resolve_rest(blocks: DataFrame, told: DataFrame, buckets: int, anchor_buckets: int) -> DataFrame:
     texts = blocks.select("block", "ids", "off", "data")
-    contexts = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_contexts(buckets), sent)
-    return cut(contexts.groupBy("bucket").applyInArrow(_sort_contexts, "block long, keys binary, bits binary"), buckets, 2)
+    contexts = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_contexts(buckets, anchor_buckets), SENT)
+    return cut(contexts.groupBy("bucket").applyInArrow(_sort_contexts, "block long, entries binary, bits binary"), buckets, 2)
 
 
-def remove_repeats(docs: DataFrame, *carry: str, texts: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, *carry: str, texts: bool = False, block: int | None = None, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs, then columns keep_<c> of `carry`.
 
     With texts, kept_text stands instead of the hash: the rest as a text, in which characters that are only partly
-    covered stay.
+    covered stay. block: bytes of a block's text. bits: of the hashes of anchors that are compared, all by default; fewer bits cost time and change nothing.
     """
-    blocks = cut(_pack(docs, carry, block))
+    slim = text_columns(docs, *carried(docs, carry))
+    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = cut(_pack(slim, total, block or max(BLOCK, min(LARGE_BLOCK, total // BLOCKS))))
     size = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    told = _resolve(blocks, max(64, size // ANCHOR_BUCKET), hot)
-    late = _resolve_rest(blocks, told, max(64, size // CONTEXT_BUCKET))
+    # Anchors are met by so many bytes of their hash that few unlike ones meet.
+    width = max(5, -(-(int(total) // 16).bit_length() // 8) + 1)
+    anchor_buckets = max(64, size // ANCHOR_BUCKET)
+    told = _resolve(blocks, anchor_buckets, hot, width, bits)
+    late = _resolve_rest(blocks, told, max(64, size // CONTEXT_BUCKET), anchor_buckets)
     release(docs.sparkSession)
-    heard = told.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
-    fields = [f"keep_{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
-    last = "kept_text string" if texts else "kept_sha256 string"
-    schema = ", ".join(["doc_id long", "n_bytes long", "n_removed long", "n_spans long", last, *fields])
-    out = blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(_finish(texts), schema)
+    last = T.StructField("kept_text" if texts else "kept_sha256", T.StringType())
+    fields = [*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), last, *(f for f in slim.schema.fields if f.name == KEEP)]
+    out = blocks.groupBy("block").cogroup(late.groupBy("block")).applyInArrow(_finish(texts), T.StructType(fields))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rest = text_columns(docs, *(F.col(c).alias(f"keep_{c}") for c in carry)).where("doc_id IS NULL")
     kept = text.alias("kept_text") if texts else F.sha2(text, 256).alias("kept_sha256")
     zero = F.lit(0).cast("long")
-    return out.unionByName(rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), kept, *(f"keep_{c}" for c in carry)))
+    rest = slim.where("doc_id IS NULL").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), kept, *([KEEP] if carry else []))
+    return kept_apart(out.unionByName(rest), carry)
 
 
 ORACLE = r"""

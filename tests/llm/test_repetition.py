@@ -52,3 +52,16 @@ def test_hashes_do_not_hang_on_pieces():
     buf, off = common.flat(pa.array([text]))
     start, end, _ = common.words_of(buf, off)
     assert (common.span_hashes(buf, start, end, 256) == common.span_hashes(buf, start, end)).all()
+
+
+def test_columns_of_any_name_and_type(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, {"a": 1}, None)], "doc_id long, text string, `my col` int, `a.b` map<string,int>, kept string")
+    out = repetition.judge(docs, "my col", "a.b", "kept")
+    row = out.select("doc_id", "`keep_my col`", "`keep_a.b`", "keep_kept").first()
+    assert tuple(row) == (1, 1, {"a": 1}, None)
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    row = repetition.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["n_repeat_words"], row["covered_words"], row["longest_repeat"], row["kept"]) == (300_000, 300_000, 300_000, 295_000, False)

@@ -101,3 +101,48 @@ def test_runs_do_not_hang_on_pieces():
     starts = [int(o) + i for o, t in zip(off, texts) for i in range(len(t) - 49)]
     assert sorted(anchors(whole)) == starts and anchors(cut) == anchors(whole)
     assert sum(cut.last - cut.first + 1) == len(starts)
+
+
+@pytest.mark.parametrize("hot, bits", [(20_000, 0), (20_000, 3), (50, 2)])
+def test_colliding_hashes_remove_nothing_more(spark, hot, bits):
+    """Anchors that meet by chance alone are compared byte by byte."""
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs, hot=hot, block=1500, bits=bits).collect()), key=str) == brute(rows)
+
+
+def test_entries_are_equal_by_their_bytes():
+    import pyarrow as pa
+
+    from lectern.llm import common
+
+    rows = sorted((d, t or "") for d, t in corpus(2) if d is not None)
+    buf, off = common.flat(pa.array([t for _, t in rows]))
+    row = {"ids": np.array([d for d, _ in rows], np.int64).tobytes(), "off": off.tobytes(), "data": pa.compress(buf.tobytes(), codec="zstd", asbytes=True)}
+    whole, poor = suffixes.Block(row), suffixes.Block(row, context_bits=0)
+    text = lambda k, i: (k.buf[k.runs.first[i] : k.runs.last[i] + suffixes.SPAN].tobytes(), int(k.runs.place[i] - k.runs.first[i]))
+    for k in (whole, poor):
+        assert all(text(k, i) == text(k, k.where[e]) for i, e in enumerate(k.entry))
+    assert len(whole.where) == len({text(whole, i) for i in range(len(whole.entry))}) < len(whole.entry)
+    assert len(poor.where) > len(whole.where)
+
+
+def test_multikey_quicksort_and_groups():
+    rng = random.Random(11)
+    lengths = {0: 50, 1: 61, 2: 81}
+    strings = [(g, bytes(rng.choice(b"ab") for _ in range(20)) + rng.choice([b"x" * 20, b"y" * 20]) + bytes(rng.choice(b"ab") for _ in range(3)) + b"z" * (lengths[g] - 43)) for g in (rng.randrange(3) for _ in range(500))]
+    strings += strings[:100]
+    buf = np.frombuffer(b"".join(s for _, s in strings) + bytes(8), np.uint8)
+    length = np.array([len(s) for _, s in strings])
+    place = suffixes.same_strings(buf, np.cumsum(length) - length, length, np.array([g for g, _ in strings]))
+    order = sorted(strings)
+    assert place.tolist() == [order.index(x) for x in strings]
+
+
+def test_columns_of_any_name_and_type(spark):
+    text = "some words that are repeated in a later document, more than fifty bytes of them"
+    docs = spark.createDataFrame([(1, text, 1, {"a": 1}, [1], "x"), (2, text, 2, None, None, None), (None, text, 3, {}, [], "")], "doc_id long, text string, `my col` int, `a.b` map<string,int>, `a-b` array<int>, n_bytes string")
+    out = suffixes.remove_repeats(docs, "my col", "a.b", "a-b", "n_bytes", texts=True)
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[5])
+    assert got == [(1, len(text), 0, 0, text, 1, {"a": 1}, [1], "x"), (2, len(text), len(text), 1, "", 2, None, None, None), (None, len(text), 0, 0, text, 3, {}, [], "")]
+    assert out.columns[5:] == ["keep_my col", "keep_a.b", "keep_a-b", "keep_n_bytes"]
