@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, mixing, repetition, setsketch, suffixes
-from lectern.llm.common import scratch_path
+from lectern.llm.common import quoted, remove_path, scratch_path
 from lectern.llm.queries import VOCABULARY
 from lectern.shipping import ship
 
 
+def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of out in the order of docs."""
+    return out.select(*map(quoted, docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     ship(spark)
     rest = [c for c in docs.columns if c != "doc_id"]
     judged = repetition.judge(docs, *rest).where("kept")
-    return judged.select("doc_id", *(F.col(f"keep_{c}").alias(c) for c in rest)).select(*docs.columns)
+    return _as_before(judged.select("doc_id", *(F.col(quoted(f"keep_{c}")).alias(c) for c in rest)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents without the byte strings that earlier ones have; characters stay whole."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = suffixes.remove_repeats(docs, *rest, texts=True)
-    out = out.select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"keep_{c}").alias(c) for c in rest))
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in rest else out).select(*docs.columns)
+    out = out.select("doc_id", F.col("kept_text").alias("text"), *(F.col(quoted(f"keep_{c}")).alias(c) for c in rest))
+    return _as_before(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in rest else out, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # Nothing reads the output of a stage after the next one has written its own.
+        if before:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
