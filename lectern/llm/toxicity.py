@@ -7,11 +7,15 @@ directions; attention pools the states to one logit. A text's score is the logis
 the highest logit of all its windows.
 
 The network is trained here, in numpy, on at most SAMPLE labelled texts of either kind, those
-of lowest hash, and at most TRAIN_WINDOWS windows of each, spread over the whole text. Toxic
-passages are not marked within a text: a toxic text teaches the windows that it scores highest
-itself, a clean one teaches all of its windows. Only text is an input.
+of lowest hash, in STEPS steps of BATCH texts, however many texts there are. Toxic passages are not marked within a text: in every
+step all windows of a toxic text are scored, and its label is taught to them by their share of a softmax
+over these scores, of which less than FAINT of the highest counts as nothing. A clean text teaches all of its windows alike.
+Only text is an input.
 
-Cases: null texts and texts without words score 0; equal texts score alike; rows with a null doc_id are
+STEPS and the number of parameters were chosen by cross-validation among the rows that may be learned from.
+
+Cases: null texts and texts without words score 0; equal texts score alike; very long texts are scored in
+all their windows, and in training too; rows with a null doc_id are
 scored but never learned from; without labels of both kinds every score is 0; an empty table
 gives an empty result.
 """
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, flat, mix, slices, span_hashes, text_columns
 
 WINDOW, STEP = 32, 16
-SAMPLE, TRAIN_WINDOWS, EPOCHS, BATCH = 1500, 32, 5, 48
+SAMPLE, STEPS, BATCH, FAINT = 1500, 200, 48, 1e-3
+#: Windows that are gone back through at a time.
+PIECE = 2048
 WORDS, GRAMS, WIDTH, HIDDEN, ATTENTION = 1 << 17, 1 << 17, 8, 8, 8
 THRESHOLD = 0.7
 
@@ -146,8 +152,18 @@ def logits(p: dict, x: np.ndarray, index: np.ndarray, most: int = 4096) -> np.nd
     return out
 
 
-def gradients(p: dict, w: Words, index: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-    """Loss and its gradients for windows of texts: doc is the text of each window, label that of each text."""
+def shares(logit: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The weight of every window in the loss of a batch. logit: of windows of toxic texts; others do not matter."""
+    top = np.full(len(label), -np.inf, np.float32)
+    np.maximum.at(top, doc, logit)
+    soft = np.exp(2 * (logit - top[doc]))
+    soft[soft < FAINT] = 0
+    soft /= np.bincount(doc, soft, len(label))[doc]
+    return (np.where(label[doc] > 0, soft, 1 / np.sqrt(np.bincount(doc, minlength=len(label))[doc])) / len(label)).astype(np.float32)
+
+
+def gradients(p: dict, w: Words, index: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict]:
+    """Loss and its gradients for windows of texts: doc is the text of each window, label that of each text, weight that of each window (by default shares() of a text's part)."""
     x = np.concatenate((w.inputs(p), np.zeros((1, 2 * WIDTH), np.float32)))
     alive = (index < len(x) - 1).astype(np.float32)
     states = np.zeros((len(index), WINDOW, 2 * HIDDEN), np.float32)
@@ -156,13 +172,8 @@ def gradients(p: dict, w: Words, index: np.ndarray, doc: np.ndarray, label: np.n
         _read(p, d, x @ p[f"W{d}"] + p[f"c{d}"], index, alive, states[:, :, half[d]], tapes[d])
     hidden, share, pooled, logit = _attend(p, states, alive)
 
-    rows = len(label)
-    top = np.full(rows, -np.inf, np.float32)
-    np.maximum.at(top, doc, logit)
-    soft = np.exp(2 * (logit - top[doc]))
-    soft /= np.bincount(doc, soft, rows)[doc]
-    many = np.bincount(doc, minlength=rows)[doc]
-    weight = np.where(label[doc] > 0, soft, 1 / np.sqrt(many)) / rows
+    if weight is None:
+        weight = shares(logit, doc, label)
     prob, y = _sigmoid(logit), label[doc]
     loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum())
     dl = (weight * (prob - y)).astype(np.float32)
@@ -181,49 +192,57 @@ def gradients(p: dict, w: Words, index: np.ndarray, doc: np.ndarray, label: np.n
     dx = np.zeros_like(x)
     for d in "fb":
         back = np.zeros((len(index), HIDDEN), np.float32)
+        passed = np.zeros((WINDOW, len(index), 3 * HIDDEN), x.dtype)
         for t, h, z, r, n, gn, live in reversed(tapes[d]):
             back += ds[:, t, half[d]]
             dn = back * live * z * (1 - n**2)
             dz = back * live * (n - h) * z * (1 - z)
             dr = dn * gn * r * (1 - r)
-            da, dg = np.concatenate((dz, dr, dn), 1), np.concatenate((dz, dr, dn * r), 1)
-            xt = x[index[:, t]]
-            g[f"W{d}"] += xt.T @ da
-            g[f"c{d}"] += da.sum(0)
+            passed[t] = np.concatenate((dz, dr, dn), 1)
+            dg = np.concatenate((dz, dr, dn * r), 1)
             g[f"U{d}"] += h.T @ dg
             back = back * (1 - live * z) + dg @ p[f"U{d}"].T
-            np.add.at(dx, index[:, t], da @ p[f"W{d}"].T)
+        # Words share their part of the gates, so that what comes back is summed by word first.
+        by_word, at = np.empty((len(x), 3 * HIDDEN)), index.T.ravel()
+        for k, column in enumerate(np.ascontiguousarray(passed.reshape(-1, 3 * HIDDEN).T)):
+            by_word[:, k] = np.bincount(at, column, len(x))
+        by_word = by_word.astype(x.dtype)
+        g[f"W{d}"] += x.T @ by_word
+        g[f"c{d}"] += by_word.sum(0)
+        dx += by_word @ p[f"W{d}"].T
     np.add.at(g["words"], w.hash, dx[:-1, :WIDTH])
     np.add.at(g["grams"], w.grams, (dx[:-1, WIDTH:] / np.maximum(w.many, 1)[:, None])[w.owner])
     return loss, g
 
 
-def train(texts: list[list[str]], label: list[int], seed: int = 7) -> dict[str, np.ndarray]:
-    """Parameters learned from the windows (strings) of labelled texts, by Adam.
-
-    Few texts are gone through more often: EPOCHS + min(12, 3000 // texts) epochs, with SAMPLE at 1,500.
-    """
+def train(texts: list[str], label: list[int], seed: int = 7, steps: int = STEPS) -> dict[str, np.ndarray]:
+    """Parameters learned from labelled texts with words, by Adam."""
     rng = np.random.default_rng(seed)
     p = _fresh(rng)
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    label, step = np.array(label, np.float32), 0
-    epochs = EPOCHS + min(12, 8 * SAMPLE // max(1, 4 * len(texts)))
-    for epoch in range(epochs):
-        order = rng.permutation(len(texts))
-        for lo in range(0, len(order), BATCH):
-            mine = order[lo : lo + BATCH]
-            parts = [x for i in mine for x in texts[i]]
-            doc = np.repeat(np.arange(len(mine)), [len(texts[i]) for i in mine])
-            w = Words(*flat(pa.array(parts, pa.string())))
-            at = np.minimum(w.counts[:-1, None] + np.arange(WINDOW), len(w.word) - 1)
-            index = np.where(np.arange(WINDOW) < np.diff(w.counts)[:, None], w.word[at], len(w.hash))
-            _, g = gradients(p, w, index, doc, label[mine])
-            step += 1
-            rate = 0.02 * (1 - 0.8 * epoch / epochs)
-            for k in p:
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] ** 2 - s[k])
-                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+    label, queue = np.array(label, np.float32), np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        while len(queue) < BATCH:
+            queue = np.concatenate((queue, rng.permutation(len(texts))))
+        mine, queue = queue[:BATCH], queue[BATCH:]
+        w = Words(*flat(pa.array([texts[i] for i in mine], pa.large_string())))
+        index, counts = w.windows()
+        doc = np.repeat(np.arange(len(mine)), np.diff(counts))
+        toxic = np.flatnonzero(label[mine][doc] > 0)
+        logit = np.zeros(len(index), np.float32)
+        logit[toxic] = logits(p, w.inputs(p), index[toxic])
+        weight = shares(logit, doc, label[mine])
+        use = np.flatnonzero(weight)
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        for lo in range(0, len(use), PIECE):
+            i = use[lo : lo + PIECE]
+            for k, v in gradients(p, w, index[i], doc[i], label[mine], weight[i])[1].items():
+                g[k] += v
+        rate = 0.02 * (1 - 0.8 * (step - 1) / steps)
+        for k in p:
+            m[k] += 0.1 * (g[k] - m[k])
+            s[k] += 0.01 * (g[k] ** 2 - s[k])
+            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
     return p
 
 
@@ -242,24 +261,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
         return None
     ids = np.array(sorted(chosen), np.int64)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             b = b.filter(pa.array(np.isin(b["doc_id"].to_numpy(), ids)))
-            if not b.num_rows:
-                continue
-            out = []
-            for text in b["text"].to_pylist():
-                flags = np.frombuffer((text or "").encode(), np.uint8)
-                words = np.where(_LETTER[flags], LOWER[flags], 32).astype(np.uint8).tobytes().decode(errors="replace").split()
-                starts = np.arange(0, max(1, len(words) - STEP), STEP)
-                if len(starts) > TRAIN_WINDOWS:
-                    starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(int)]
-                out.append([" ".join(words[a : a + WINDOW]) for a in starts] if words else [])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.list_(pa.string()))], names=["doc_id", "windows"])
-
-    rows = text_columns(docs).where("doc_id IS NOT NULL").mapInArrow(spread, "doc_id long, windows array<string>").collect()
+            w = Words(*flat(b["text"]))
+            yield b.filter(pa.array(np.diff(w.counts) > 0))
+
+    rows = text_columns(docs).where("doc_id IS NOT NULL").mapInArrow(chosen_texts, "doc_id long, text string").collect()  # twice `sample` doc_ids at most
     # A doc_id that stands in many rows teaches by the first of them.
-    found = {r["doc_id"]: r["windows"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["windows"]), reverse=True) if r["windows"]}
+    found = {r["doc_id"]: r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]), reverse=True)}
     use = sorted(found)
     if len({chosen[i] for i in use}) < 2:
         return None

@@ -65,3 +65,65 @@ def test_learns_and_holds_out(spark):
     assert scores[1000] == scores[1001] == 0
     assert toxicity.classify(docs.limit(0), table).count() == 0
     assert all(r["score"] == 0 for r in toxicity.classify(docs.limit(5), table.limit(0)).collect())
+
+
+def plain_score(p, text):
+    """The network in plain loops, from the words of one text to the highest of its windows."""
+    import math
+    import re
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    of = lambda data: common.span_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0]
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode() if text.isascii() else text.encode())
+    if not words:
+        return 0.0
+    vectors = []
+    for word in words:
+        marked = b"\x01" + word + b"\x01"
+        grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        rows = [p["grams"][int(common.mix(np.array([of(x)]))[0] % np.uint64(toxicity.GRAMS))] for x in grams]
+        chars = [sum(float(r[k]) for r in rows) / len(rows) if rows else 0.0 for k in range(toxicity.WIDTH)]
+        vectors.append([float(v) for v in p["words"][int(of(word) % np.uint64(toxicity.WORDS))]] + chars)
+    mul = lambda v, m: [sum(a * float(m[i][k]) for i, a in enumerate(v)) for k in range(len(m[0]))]
+    n = toxicity.HIDDEN
+
+    def read(xs, d):
+        h, out = [0.0] * n, []
+        for x in xs:
+            a = [u + float(c) for u, c in zip(mul(x, p[f"W{d}"]), p[f"c{d}"])]
+            g = mul(h, p[f"U{d}"])
+            z, r = [sigmoid(a[k] + g[k]) for k in range(n)], [sigmoid(a[n + k] + g[n + k]) for k in range(n)]
+            new = [math.tanh(a[2 * n + k] + r[k] * g[2 * n + k]) for k in range(n)]
+            h = [h[k] + z[k] * (new[k] - h[k]) for k in range(n)]
+            out.append(h)
+        return out
+
+    best = -math.inf
+    for begin in range(0, max(1, len(words) - toxicity.STEP), toxicity.STEP):
+        xs = vectors[begin : begin + toxicity.WINDOW]
+        states = [f + b for f, b in zip(read(xs, "f"), read(xs[::-1], "b")[::-1])]
+        hidden = [[math.tanh(u + float(c)) for u, c in zip(mul(s, p["A"]), p["a"])] for s in states]
+        weights = [math.exp(sum(u * float(v) for u, v in zip(x, p["v"]))) for x in hidden]
+        pooled = [sum(w * s[k] for w, s in zip(weights, states)) / sum(weights) for k in range(2 * n)]
+        best = max(best, sum(u * float(v) for u, v in zip(pooled, p["w"])) + float(p["o"][0]))
+    return sigmoid(best)
+
+
+def test_scores_like_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    p = {k: v * (20 if k in ("words", "grams") else 1) for k, v in toxicity._fresh(rng).items()}
+    say = random.Random(1)
+    texts = ["One, two! THREE", "x", "", None, "été naïve", " ".join(say.choice(["a", "Fine", "day", "grolak", "x9"]) for _ in range(130)), " ".join(f"w{i}" for i in range(48)), " ".join(f"v{i}" for i in range(49)), "é" * 3 + " " + "ab " * 20]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p).collect()}
+    assert all(abs(got[i] - plain_score(p, t or "")) < 1e-4 for i, t in enumerate(texts)), got
+
+
+def test_training_uses_all_windows():
+    """The only toxic words stand far behind in long texts."""
+    rng = random.Random(4)
+    clean = [f"w{i}" for i in range(50)]
+    texts = [" ".join([rng.choice(clean) for _ in range(3000)] + (["vermin"] * 3 if i % 2 else []) + [rng.choice(clean) for _ in range(40)]) for i in range(24)]
+    p = toxicity.train(texts, [i % 2 for i in range(24)], steps=40)
+    w = toxicity.Words(*common.flat(pa.array(["w1 w2 vermin w3", "w1 w2 w4 w3"])))
+    high, low = toxicity.logits(p, w.inputs(p), w.windows()[0])
+    assert high > low + 1
