@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import MEMBERS, cut, join_hot
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,10 +25,13 @@ def connected(edges: DataFrame, rows: int) -> DataFrame:
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        n = 2 * before[0]
+        # A hub may have a third of all edges: its rows are joined where they are.
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias(MEMBERS)).select("u", F.least("u", "m").alias("m"), MEMBERS)
+        large = join_hot(both, least, ["u"], n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias(MEMBERS))
+        linked = join_hot(large, least, ["u"], n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = least.drop(MEMBERS)
         small = linked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small, 2 * before[0])
         after = _mark(edges)

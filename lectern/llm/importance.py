@@ -9,7 +9,7 @@ their weights.
 The raw model counts every n-gram of every document. The target model is fitted on at most
 TARGET_ROWS labelled rows, those of lowest hash. k is the share of good ones among all labelled rows, of all documents.
 
-Cases: null and empty texts have log weight 0; a null doc_id draws the noise of 0; rows equal in
+Cases: null and empty texts have log weight 0; very long texts count with all their n-grams; a null doc_id draws the noise of 0; rows equal in
 doc_id share their noise; equal keys fall back to doc_id; without labels the weights are 0 and
 all documents are kept; an empty table gives an empty result.
 """

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, group_bounds, joined, mix, whole_groups
+from .common import MEMBERS, cut, group_bounds, join_hot, joined, mix, whole_groups
 from .components import connected
 
 TABLES, BLOCKS = 8, 2
@@ -153,7 +153,8 @@ def _compare(members: DataFrame, cosine: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("long").alias("label"))
+    # Labels of any type are told apart by a hash of their own values.
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & F.exists("x", lambda v: v != 0)
     # NaN fails every range, so that only finite components pass.
     good &= ~F.exists("x", lambda v: v.isNull() | ~((v > -float("inf")) & (v < float("inf")) & ~F.isnan(v)))
@@ -193,9 +194,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     links = found.where("u = v").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "node")
     label = connected(found.where("u != v").select("u", "v"), 2 * TABLES * total)
     named = classes.select("node", "copies", "rep").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("found"))
-    named = named.join(least, "component").join(links, "node", "left").select("node", "copies", "found", F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.select("vec_id", "node").join(named, "node", "left")
+    named = cut(named, total)
+    least = named.groupBy("component").agg(F.min("rep").alias("found"), F.count("*").alias(MEMBERS))
+    named = join_hot(named, least, ["component"], total).join(links, "node", "left").select("node", "copies", F.col("copies").alias(MEMBERS), "found", F.coalesce("links", F.lit(0)).alias("links"))
+    # Rows that link with nothing have no node, and need no join.
+    slim = rows.select("vec_id", "node")
+    out = join_hot(slim.where("node IS NOT NULL"), cut(named, total), ["node"], total)
+    nothing = {"copies": F.lit(1).cast("long"), "found": F.lit(None).cast("long"), "links": F.lit(0).cast("long")}
+    out = out.unionByName(slim.where("node IS NULL").withColumns(nothing).select(*out.columns))
     component = F.coalesce("found", "vec_id")
     n_links = F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long")
     return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

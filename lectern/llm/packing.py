@@ -6,17 +6,18 @@ has the least room which still suffices. A segment tree over the amounts of free
 it. A packed row holds its padded ids, the cumulative lengths of its segments and, in effect,
 positions that start from 0 in every segment.
 
-Packing goes group by group, a group being consecutive documents of one input partition
-with about GROUP tokens; so no task holds more than a group, and nothing is shuffled.
+Packing goes group by group. A document's group follows from its doc_id and text, and the number of groups from the
+bytes of all texts, about GROUP tokens each: the same table gives the same packs however it is partitioned.
+Token ids, not texts, are shuffled, once.
 
-Cases: null and empty texts have no tokens and no segment; repeated rows are packed repeatedly;
-null doc_ids are kept as such; an empty table gives an empty result.
+Cases: null and empty texts have no tokens and no segment; repeated rows are packed repeatedly, in one group;
+null doc_ids are kept as such; a very long text fills rows of its own group, which then is as large as its ids; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_columns
+from .common import flat, mix, slices, span_hashes, text_columns
 
 LENGTH, GROUP = 2048, 2_000_000
+#: Bytes of text that a token stands for when the number of groups is set.
+BYTES_A_TOKEN = 4
 
 FIELDS = "pack long, row int, n_tokens int, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
@@ -93,12 +96,12 @@ def tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("packed", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pack_group(ids: list[int | None], tokens: list[np.ndarray], length: int, pad: int) -> pa.RecordBatch:
-    """The packed rows of one group of documents."""
+def pack_group(pack: int, ids: list[int | None], tokens: list[np.ndarray], length: int, pad: int) -> pa.RecordBatch:
+    """The packed rows of one group of documents, in an order that does not hang on that of its documents."""
     kind = np.dtype("<u2" if pad < 1 << 16 else "<u4")
-    pieces = [(d, k // length, t[k : k + length]) for d, t in zip(ids, tokens, strict=True) for k in range(0, len(t), length)]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, tokens[i].tobytes()))
+    pieces = [(ids[i], k // length, tokens[i][k : k + length]) for i in order for k in range(0, len(tokens[i]), length)]
     rows = best_fit_decreasing([len(p[2]) for p in pieces], length)
-    name = hashlib.blake2b(repr([(d, len(t)) for d, t in zip(ids, tokens, strict=True)]).encode(), digest_size=8)
     matrix = np.full((len(rows), length), pad, kind)
     positions = np.zeros((len(rows), length), np.dtype("<u2" if length <= 1 << 16 else "<u4"))
     bounds = []
@@ -112,7 +115,7 @@ def pack_group(ids: list[int | None], tokens: list[np.ndarray], length: int, pad
         bounds.append(at)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([int.from_bytes(name.digest(), "little", signed=True)] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array([b[-1] for b in bounds], pa.int32()),
+            pa.array([pack] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array([b[-1] for b in bounds], pa.int32()),
             pa.array([[pieces[i][0] for i in m] for m in rows], pa.list_(pa.int64())), pa.array([[pieces[i][1] for i in m] for m in rows], pa.list_(pa.int32())), pa.array(bounds, pa.list_(pa.int32())),
             pa.array([x.tobytes() for x in matrix], pa.binary()), pa.array([x.tobytes() for x in positions], pa.binary()),
         ],
@@ -123,31 +126,41 @@ def pack_group(ids: list[int | None], tokens: list[np.ndarray], length: int, pad
 def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Packed rows: pack and row number, n_tokens, doc_ids and parts (number of the piece of its document) of the segments, cu_seqlens, ids (little-endian, padded with the first free id), positions."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = text_columns(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-total // (group * BYTES_A_TOKEN)))
+
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer(path, pattern)
-        ids: list[int | None] = []
-        tokens: list[np.ndarray] = []
-        size = 0
+        kind = "<u2" if enc.n_vocab < 1 << 16 else "<u4"
         for b in slices(batches, "text"):
-            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                if t:
-                    ids.append(d)
-                    tokens.append(np.array(enc.encode_to_numpy(t, disallowed_special=()), np.uint32))
-                    size += len(tokens[-1])
-            if size >= group:
-                yield pack_group(ids, tokens, length, enc.n_vocab)
-                ids, tokens, size = [], [], 0
-        if ids:
-            yield pack_group(ids, tokens, length, enc.n_vocab)
+            buf, off = flat(b["text"])
+            full = np.flatnonzero(np.diff(off))
+            if not len(full):
+                continue
+            b = b.take(pa.array(full))
+            h = mix(span_hashes(buf, off[full], off[full + 1]) ^ mix(b["doc_id"].fill_null(-1).to_numpy().view(np.uint64)))
+            tokens = [np.asarray(enc.encode_to_numpy(t, disallowed_special=())).astype(kind).tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(groups)).astype(np.int64)), b["doc_id"], pa.array(tokens, pa.binary())], names=["pack", "doc_id", "tokens"])
+
+    def packed(t: pa.Table) -> pa.Table:
+        n_vocab = tokenizer(path, pattern).n_vocab
+        kind = "<u2" if n_vocab < 1 << 16 else "<u4"
+        batch = pack_group(t["pack"][0].as_py(), t["doc_id"].to_pylist(), [np.frombuffer(x, kind) for x in t["tokens"].to_pylist()], length, n_vocab)
+        return pa.Table.from_batches([batch])
 
-    return text_columns(docs).mapInArrow(run, FIELDS)
+    return text_columns(docs).mapInArrow(tokenised, "pack long, doc_id long, tokens binary").groupBy("pack").applyInArrow(packed, FIELDS)
 
 
 def write(packed: DataFrame, path: str) -> None:
-    """Write the matrices: a Parquet folder whose column ids holds one row of the id matrix a record."""
+    """Write the packs as Parquet: a record holds one row of the id matrix, one of the positions, and the cumulative lengths."""
     packed.write.parquet(path)
 
 
+def matrices(rows: pa.Table, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The id matrix and the matrix of positions of rows of a written pack."""
+    return tuple(np.frombuffer(b"".join(data), f"<u{len(data[0]) // length}" if data else "<u2").reshape(-1, length) for data in (rows["ids"].to_pylist(), rows["positions"].to_pylist()))
+
+
 def digests(packed: DataFrame) -> DataFrame:
     """packed with hashes instead of the matrices."""
     return packed.select("pack", "row", "n_tokens", "doc_ids", "parts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))

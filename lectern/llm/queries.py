@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from .common import scratch_path
 from . import bpe, importance, lattice, licenses, mixing, packing, repetition, setsketch, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -16,44 +17,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: size, source_size, target, and the words that the mix takes of each."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors: their links at cosine 0.98 within a label, component and verdict."""
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: bytes removed because earlier documents have them, and a hash of the rest."""
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, laid out in folders by with_paths(): own and inherited licenses."""
     return licenses.scan(licenses.with_paths(_table(spark, sf_dir, "documents")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: counts and the verdict of the repetition rules."""
     judged = repetition.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: near-duplicates on 2-word shingles at 80 percent."""
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: ids of the byte-level vocabulary and the bytes decoded from them, as hashes."""
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, bpe.digests, bpe.DIGESTS)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: score and verdict of a network trained on the labelled ones that are not held out."""
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
+    """All documents packed, the matrices written, and what was written read back and digested."""
+    path = scratch_path(spark, "packs")
+    packing.write(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN), path)
+    return packing.digests(spark.read.parquet(path))
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: log weight, key and whether drawn."""
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 

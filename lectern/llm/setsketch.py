@@ -12,14 +12,15 @@ one of its rows; all else works on classes.
    looked at again, in tiles of bounded size: pairs between components are estimated by the
    likelihood of the registers given the set sizes, each pair in the first bucket that it
    shares; those that may reach the threshold are confirmed on the full sets within the tile.
-   A tile returns one link for each component that it joins to another, not its pairs.
+   A tile returns one link for each component that it joins to another, not its pairs. Members of a bucket's main
+   component meet those of other components only.
    So a link is only lost if its documents share no bucket (at the threshold: (1 - 0.8^5)^32,
    two in a million) or by registers 5 standard errors off.
 
 Links are confirmed on the full sets, from the whole texts.
 
 Cases: null, empty or wordless texts have empty sets, link with nothing and are kept; texts with
-fewer words than a shingle have one, of all their words; equal rows form a class and share
+fewer words than a shingle have one, of all their words; very long texts are sets like others, a task holding a few at a time; equal rows form a class and share
 its component; rows with a null doc_id link with nothing, have no component and are kept;
 an empty table gives an empty result.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, cut, flat, group_bounds, joined, mix, ngrams, slices, span_hashes, text_columns, whole_groups, words_of
+from .common import LOWER, MEMBERS, cut, flat, group_bounds, join_hot, joined, mix, ngrams, slices, span_hashes, text_columns, whole_groups, words_of
 from .components import connected
 
 WORDS, PERCENT = 5, 80
@@ -45,6 +46,7 @@ BASE, RATE, STEPS = 1.02, 20.0, 65_534
 #: A pair is ruled out if its best likelihood at the threshold or above is lower than the best of all by e to this power.
 DOUBT = 12.5
 TILE = 256
+MEMBERS_OF_CLASS = "__lectern_copies"
 
 _rng = np.random.default_rng(20210101)
 _FACTOR = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -251,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sketched = cut(sketch(docs, words), n, 5_000)
     ids = sketched.select("doc_id", "n_shingles", "set_hash")
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumnRenamed("set_hash", "node")
-    classes = cut(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("regs").alias("regs")), n, 20_000)
+    classes = cut(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("regs").alias("regs")), n, 20_000)
     banded = classes.select("node", "rep", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     member = cut(banded.join(shared, "bucket"), BANDS * n)
@@ -264,23 +266,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     first = cut(confirm(found, words, percent), n, 5_000)
     label = connected(first, n)
 
-    placed = member.select("bucket", "band", "node", "members").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = member.select("bucket", "band", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = cut(placed, BANDS * n)
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    rest = placed.join(torn, "bucket").join(classes.select("node", "size", "regs"), "node").join(texts, "node")
-    # A bucket of m members becomes a triangle of tiles, each with the members of one or two of its m / TILE slices.
-    slices_ = F.ceil(F.col("members") / TILE).cast("int")
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), slices_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices_ - 1)))
+    # Of every torn bucket, the component with the most members is the main one: pairs within it need no look.
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    torn = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("b"), F.sum("n").alias(MEMBERS), F.count("*").alias("parts")).where("parts > 1")
+    torn = cut(torn.select("bucket", F.col("b.component").alias("main"), F.col("b.n").alias("most"), MEMBERS))
+    rest = join_hot(placed, torn.withColumn("others", F.col(MEMBERS) - F.col("most")), ["bucket"], BANDS * n)
+    # Slices of main members and slices of others: every slice of others meets itself, the other slices of others,
+    # and those of main members. One outlier in a bucket of m so costs a copy of each text, not m / TILE of them.
+    few, many = F.ceil(F.col("others") / TILE).cast("int"), F.ceil(F.col("most") / TILE).cast("int")
+    odd = F.col("component") != F.col("main")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(odd, few).otherwise(many)).cast("int") + F.when(odd, 0).otherwise(few))
+    meets = F.when(odd, F.sequence(F.lit(0), few + many - 1)).otherwise(F.sequence(F.lit(0), few - 1))
+    rest = rest.withColumn("other", F.explode(meets)).join(classes.select("node", "size", "regs"), "node").join(texts, "node")
     tile = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     second = cut(_between_components(rest.withColumn("tile", tile).withColumn("side", side.cast("long")), words, percent), BANDS * n)
     more = second.count()
     final = connected(first.unionByName(second), n + more) if more else label
 
-    placed = classes.select("node", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = placed.groupBy("component").agg(F.min("rep").alias("found"))
-    reps = placed.join(smallest, "component").select(F.col("node").alias("set_hash"), "found")
-    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = ids.withColumn("set_hash", F.when(linkable, F.col("set_hash"))).join(reps, "set_hash", "left")
+    placed = cut(classes.select("node", "rep", F.col("copies").alias(MEMBERS_OF_CLASS)).join(final, "node", "left").withColumn("component", F.coalesce("component", "node")), n)
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("found"), F.count("*").alias(MEMBERS))
+    reps = join_hot(placed, smallest, ["component"], n).select(F.col("node").alias("set_hash"), "found", MEMBERS_OF_CLASS)
+    linkable = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    # Copies of one set may be a third of all rows, and so may rows that link with nothing: the latter need no join.
+    reps = reps.withColumnRenamed(MEMBERS_OF_CLASS, MEMBERS)
+    out = join_hot(ids.where(linkable), reps, ["set_hash"], n)
+    alone = ids.where(~linkable).select(F.lit(None).cast("long").alias("set_hash"), "doc_id", "n_shingles", F.lit(None).cast("long").alias("found"))
+    out = out.select("set_hash", "doc_id", "n_shingles", "found").unionByName(alone)
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["set_hash"] if hashes else []))

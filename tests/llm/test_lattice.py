@@ -80,3 +80,11 @@ def test_recall_at_the_threshold():
     a, b = (lattice.cells(v, np.zeros(len(v), np.int64)) for v in (x, y))
     met = (a[..., :, None] == b[..., None, :]).any((2, 3))
     assert met.mean() > 0.75 and met.any(1).mean() > 0.9995
+
+
+def test_labels_are_compared_in_their_own_type(spark):
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.9), (3, [1.0, 0.01], 1.2), (4, [1.0, 0.0], None), (5, [1.0, 0.0], float("nan"))]
+    for kind, show in (("double", lambda x: x), ("string", lambda x: None if x is None else str(x))):
+        df = spark.createDataFrame([(i, v, show(x)) for i, v, x in rows], f"vec_id long, embedding array<double>, label {kind}")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_duplicates(df).collect()}
+        assert got == {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False), 4: (0, 4, True), 5: (0, 5, True)}

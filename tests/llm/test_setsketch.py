@@ -96,3 +96,38 @@ def test_connected(spark):
     linked = {x for u, v in edges if u != v for x in (u, v)}
     assert got == {x: find(x) for x in linked}
     assert components.connected(spark.createDataFrame([], "u long, v long"), 0).count() == 0
+
+
+def test_hot_keys_are_joined_where_they_are(spark):
+    """Hubs, copies and components above join_hot's bound, which the table's size sets to 10,000 rows."""
+    from lectern.llm import common
+    from lectern.llm.components import connected
+
+    n = 25_000
+    edges = spark.range(1, n).selectExpr("id AS u", "0L AS v").unionByName(spark.createDataFrame([(n + 1, n + 2), (n + 2, n + 3)], "u long, v long"))
+    got = connected(edges, n)
+    assert {r["component"]: r["count"] for r in got.groupBy("component").count().collect()} == {0: n, n + 1: 3}
+    left = spark.range(n).selectExpr("if(id < 20000, 1, id) AS k", "id AS x")
+    right = left.groupBy("k").count().withColumnRenamed("count", common.MEMBERS).selectExpr("k", common.MEMBERS, "k * 2 AS y").where("k % 5 != 0")
+    for how, rows in (("inner", 20_000 + 4_000), ("left", n)):
+        out = common.join_hot(left, right, ["k"], n, how)
+        assert out.count() == rows and out.where("y IS NOT NULL AND y != 2 * k").count() == 0 and out.where("y IS NOT NULL").count() == 24_000
+
+
+def test_torn_buckets_of_many_tiles(spark):
+    """Many members of one component, a few others in the same buckets: every link between them is found."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base + [f"x{i}"]) for i in range(700)] + [" ".join(base[:57] + [f"y{i}" for i in range(k)]) for k in (1, 2, 3, 9, 20)] + [" ".join(rng.sample(base, 60)) for _ in range(3)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = sorted(map(tuple, setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()))
+    assert got == sorted(brute(rows, 2, 80))
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 7001}-{i // 7001}" for i in range(120_000)]
+    near = words[:60_000] + ["other"] + words[60_001:]
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (4, " ".join(words[:90_000]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (119_996, 3), 3: (119_996, 3), 4: (89_996, 4)}
