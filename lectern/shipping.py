@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,7 +24,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _sent:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern_package.zip"
+    folder = tempfile.mkdtemp(prefix="lectern-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file from here as long as the driver lives
+    archive = Path(folder) / "lectern_package.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
