@@ -56,6 +56,11 @@ ANCHOR_BUCKET, CONTEXT_BUCKET = 8 << 20, 2 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
+def compressed(data: bytes) -> bytes:
+    """Texts are compressed once and shuffled several times: a middle level of zstd."""
+    return pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
 class Runs:
     """Runs of strings with one anchor: first and last start, anchor's place, row, hash of anchor, hash of context, hash of both."""
 
@@ -314,7 +319,7 @@ def _pack(docs: DataFrame, size: int, most: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.select(carry).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(t.select(carry))
-            ids, data = t["doc_id"].to_numpy().tobytes(), pa.compress(buf.tobytes(), codec="zstd", asbytes=True)
+            ids, data = t["doc_id"].to_numpy().tobytes(), compressed(buf.tobytes())
             return pa.RecordBatch.from_pydict({"block": [partition << 32 | next(numbers)], "ids": [ids], "off": [off.astype(np.int64).tobytes()], "data": [data], "more": [sink.getvalue().to_pybytes()]})
 
         for b in slices(batches, "text", most // 8):
@@ -412,7 +417,7 @@ def _contexts(buckets: int, anchor_buckets: int) -> Callable[[pa.Table, pa.Table
             fields = {"entries": (entry, "<u4"), "docs": (k.first_doc[entry], "<i8"), "shift": (shift, "u1"), "strings": (strings, "u1"), "anchor": (anchor, "u1"), "sort": (deal >> np.uint64(32), "<u4")}
 
             def text(i, first=first, n=strings + SPAN - 1, buf=k.buf):
-                return pa.compress(buf[_bytes_at(first[i], n[i])].tobytes(), codec="zstd", asbytes=True)
+                return compressed(buf[_bytes_at(first[i], n[i])].tobytes())
 
             columns = {c: lambda i, x=x, kind=kind: x[i].astype(kind).tobytes() for c, (x, kind) in fields.items()}
             rows = _dealt((deal % np.uint64(buckets)).astype(np.int64), buckets, {"n": lambda i, n=strings: int((n[i] + SPAN - 1).sum()), **columns, "text": text})
