@@ -61,7 +61,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: s
     Keys of more than a two-thousandth of all rows are few, 2,000 at most: they are broadcast, and
     their rows stay where they are. The rows of any other key go to one task.
     """
-    limit = max(10_000, rows // 2_000)
+    limit = max(1_000, rows // 2_000)
     hot, cold = right.where(F.col(MEMBERS) > limit).drop(MEMBERS), right.where(F.col(MEMBERS) <= limit).drop(MEMBERS)
     if not hot.limit(1).count():
         return left.join(right.drop(MEMBERS), on, how)

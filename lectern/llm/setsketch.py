@@ -45,7 +45,7 @@ REGISTERS = BANDS * WIDTH
 BASE, RATE, STEPS = 1.02, 20.0, 65_534
 #: A pair is ruled out if its best likelihood at the threshold or above is lower than the best of all by e to this power.
 DOUBT = 12.5
-TILE = 256
+TILE = 512
 MEMBERS_OF_CLASS = "__lectern_copies"
 
 _rng = np.random.default_rng(20210101)
@@ -272,11 +272,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     torn = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("b"), F.sum("n").alias(MEMBERS), F.count("*").alias("parts")).where("parts > 1")
     torn = cut(torn.select("bucket", F.col("b.component").alias("main"), F.col("b.n").alias("most"), MEMBERS))
+    # A main component that fits into one tile needs no slices of its own.
+    torn = torn.withColumn("main", F.when(F.col("most") > TILE, F.col("main"))).withColumn("most", F.when(F.col("most") > TILE, F.col("most")).otherwise(0))
     rest = join_hot(placed, torn.withColumn("others", F.col(MEMBERS) - F.col("most")), ["bucket"], BANDS * n)
     # Slices of main members and slices of others: every slice of others meets itself, the other slices of others,
     # and those of main members. One outlier in a bucket of m so costs a copy of each text, not m / TILE of them.
     few, many = F.ceil(F.col("others") / TILE).cast("int"), F.ceil(F.col("most") / TILE).cast("int")
-    odd = F.col("component") != F.col("main")
+    odd = F.col("main").isNull() | (F.col("component") != F.col("main"))
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(odd, few).otherwise(many)).cast("int") + F.when(odd, 0).otherwise(few))
     meets = F.when(odd, F.sequence(F.lit(0), few + many - 1)).otherwise(F.sequence(F.lit(0), few - 1))
     rest = rest.withColumn("other", F.explode(meets)).join(classes.select("node", "size", "regs"), "node").join(texts, "node")

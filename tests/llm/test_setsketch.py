@@ -99,7 +99,7 @@ def test_connected(spark):
 
 
 def test_hot_keys_are_joined_where_they_are(spark):
-    """Hubs, copies and components above join_hot's bound, which the table's size sets to 10,000 rows."""
+    """Hubs, copies and components above join_hot's bound, which the table's size sets to 1,000 rows."""
     from lectern.llm import common
     from lectern.llm.components import connected
 
