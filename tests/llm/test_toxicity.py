@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,6 @@ def test_learns_and_holds_out(spark):
     got = toxicity.classify(docs, table).collect()
     assert len(got) == 404 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 400]
-    import zlib
-
     assert {r["doc_id"] for r in held} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) >= 0.95 * len(held)
     scores = {r["doc_id"]: r["score"] for r in got}
@@ -127,3 +126,12 @@ def test_training_uses_all_windows():
     w = toxicity.Words(*common.flat(pa.array(["w1 w2 vermin w3", "w1 w2 w4 w3"])))
     high, low = toxicity.logits(p, w.inputs(p), w.windows()[0])
     assert high > low + 1
+
+
+def test_a_repeated_doc_id_teaches_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: (texts, labels))
+    ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    rows = [(ids[0], f"text {k:03d}") for k in range(200)] + [(i, f"own words {i}") for i in ids[1:]] + [(ids[1], None), (None, "nobody")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels) == (["text 000"] + [f"own words {i}" for i in ids[1:]], [1, 0, 0, 0])
