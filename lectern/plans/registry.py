@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import schema
 from lectern.functions import models, text
@@ -122,9 +125,25 @@ LETTERS = "etaoinshrdlcumwfgypbvk"
 
 
 def letter_counts(c):
-    """A deterministic encoder that SQL can state too: how often each of LETTERS stands in the text."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("float") for x in LETTERS))
+    """A deterministic encoder that SQL can state too: how often each of LETTERS stands in the lower-cased text."""
+    code = np.full(256, len(LETTERS), np.uint8)
+    for i, x in enumerate(LETTERS):
+        code[[ord(x), ord(x.upper())]] = i
+
+    def count(texts: pa.Array) -> pa.Array:
+        # Bytes below 128 are characters of their own; the two others whose lower case holds one of LETTERS are written out.
+        for other, x in (("\u212a", "k"), ("\u0130", "i")):
+            texts = pa.compute.replace_substring(texts, other, x)
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        codes = code[np.frombuffer(data or b"", np.uint8)]
+        out = np.empty((len(texts), len(LETTERS)), np.float32)
+        for i in range(len(texts)):
+            out[i] = np.bincount(codes[at[i] : at[i + 1]], minlength=len(LETTERS) + 1)[:-1]
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(LETTERS), dtype=np.int32), out.ravel())
+
+    return F.arrow_udf(count, T.ArrayType(T.FloatType()))(F.coalesce(c, F.lit("")))
 
 
 def _questions(spark, sf):
