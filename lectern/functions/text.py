@@ -27,9 +27,18 @@ LINE_PATTERNS = {
 }
 
 
+#: White space of any script, as \s under (?U) has it; the characters are named, as trimming and plain classes are much faster.
+SPACE = "\t\n\x0b\f\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What divides words: white space and the four separators of ASCII. As a class of Java's: a table for Latin-1, and one range to pass for the rest.
+DIVIDERS = SPACE + "\x1c\x1d\x1e\x1f"
+DIVIDER = f"[{''.join(x for x in DIVIDERS if x < chr(256))}[\u1680-\u3000&&[{''.join(x for x in DIVIDERS if x >= chr(256))}]]]+"
+#: LINE_BREAK but for the plain one.
+OTHER_BREAK = "[\x0b\f\r\x1c\x1d\x1e\x85[\u2028-\u2029]](?:(?<=\r)\n)?"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def clean(c: Column) -> Column:
@@ -41,11 +50,18 @@ def clean(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Stripped lines that are not blank."""
-    return F.filter(F.transform(F.split(c, LINE_BREAK), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, OTHER_BREAK, "\n"), "\n"), strip), lambda x: x != "")
+
+
+def without_page_number(c: Column, stripped: bool = False) -> Column:
+    """stripped: c is known to have no white space at its ends, as lines() gives it."""
+    bare = c if stripped else strip(c)
+    # A number can only stand there if the last character is a digit; most lines end without one.
+    return F.when(F.substring(bare, -1, 1).rlike(r"(?U)\d"), strip(F.regexp_replace(c, r"(?U)\s*\d{1,4}\s*$", ""))).otherwise(bare)
 
 
-def without_page_number(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s*\d{1,4}\s*$", ""))
+def is_blank(c: Column) -> Column:
+    return F.ltrim(c, F.lit(SPACE)) == ""
 
 
 def doc_type(path: Column) -> Column:
@@ -58,7 +74,8 @@ def lecture_id(head: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    bare = F.btrim(c, F.lit(DIVIDERS))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, DIVIDER)))
 
 
 def join_parts(separator: str, *parts: Column) -> Column:

@@ -66,7 +66,8 @@ def judged(questions: DataFrame, chosen: DataFrame) -> DataFrame:
     question is over quota if enough earlier ones of its section had valid quotes.
     """
     t = questions.join(chosen.select("scope", "section_index", "quota", "content"), ["scope", "section_index"], "left")
-    valid = F.col("quota").isNotNull() & F.coalesce(text.quote_supported(F.col("supporting_quote"), F.col("content")), F.lit(False))
+    # A section that is owed nothing has all its questions over quota, whatever they quote: no text is compared for it.
+    valid = (F.coalesce("quota", F.lit(0)) > 0) & F.coalesce(text.quote_supported(F.col("supporting_quote"), F.col("content")), F.lit(False))
     before = Window.partitionBy("scope", "section_index").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("valid", valid).withColumn("written", F.coalesce(F.sum(F.col("valid").cast("int")).over(before), F.lit(0)))
     status = F.when(F.col("quota").isNull(), "bad_section").when(F.col("written") >= F.col("quota"), "over_quota").when(~F.col("valid"), "unverified").otherwise("kept")

@@ -19,7 +19,7 @@ from lectern.functions import text
 def footers(pages: DataFrame) -> DataFrame:
     """document_id, footer: the line (page numbers aside) that stands on most pages, if on enough of them."""
     # Every page also has an empty line, which counts the pages in the same pass.
-    bare = F.transform(text.lines(F.col("text")), text.without_page_number)
+    bare = F.transform(text.lines(F.col("text")), lambda x: text.without_page_number(x, stripped=True))
     seen = pages.select("document_id", "page", F.explode(F.array_distinct(F.concat(F.coalesce(bare, F.array().cast("array<string>")), F.array(F.lit(""))))).alias("footer"))
     counts = seen.groupBy("document_id", "footer").agg(F.countDistinct("page").alias("n"))
     line = F.when(F.col("footer") != "", F.struct((-F.col("n")).alias("n"), "footer"))
@@ -30,7 +30,7 @@ def footers(pages: DataFrame) -> DataFrame:
 
 def parse(pages: DataFrame, footer: DataFrame | None) -> DataFrame:
     """Slides: title (null if none) and body instead of text. footer: as footers() gives it, None for no removal."""
-    found = F.filter(text.lines(F.col("text")), lambda x: F.col("footer").isNull() | (text.without_page_number(x) != F.col("footer")))
+    found = F.filter(text.lines(F.col("text")), lambda x: F.col("footer").isNull() | (text.without_page_number(x, stripped=True) != F.col("footer")))
     slides = (pages.join(footer, "document_id", "left") if footer is not None else pages.withColumn("footer", F.lit(None).cast("string"))).withColumn("lines", found)
     own_number = F.concat(F.lit("^"), F.col("page").cast("string"), F.lit(r"\s*"))
     title = text.strip(F.regexp_replace(F.get("lines", F.lit(0)), own_number, F.lit("")))
@@ -115,12 +115,14 @@ def chunks(pages: DataFrame, footer: DataFrame | None = None, remove_footer: boo
     head = text.join_parts("\n", F.col("title"), F.col("body"))
     first = F.max(F.when(F.col("page") == 1, text.lecture_id(head))).over(Window.partitionBy("document_id"))
     slides = slides.withColumn("lecture", first)
-    full = slides.where(text.strip(F.col("body")) != "").withColumn("content", text.join_parts("\n", F.col("title"), F.col("body")))
+    full = slides.where(~text.is_blank(F.col("body"))).withColumn("content", text.join_parts("\n", F.col("title"), F.col("body")))
     same = Window.partitionBy("document_id", "content").orderBy("page")
     full = full.withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy")
     if count_tokens is None:
-        parts = F.when(text.word_count(F.col("content")) <= schema.MAX_TOKENS, F.array("content")).otherwise(packed_lines(F.col("title"), F.col("body")))
-        full = full.withColumn("parts", parts).withColumn("counts", F.transform("parts", text.word_count))
+        full = full.withColumn("words", text.word_count(F.col("content")))
+        fits = F.col("words") <= schema.MAX_TOKENS
+        full = full.withColumn("parts", F.when(fits, F.array("content")).otherwise(packed_lines(F.col("title"), F.col("body"))))
+        full = full.withColumn("counts", F.when(fits, F.array("words")).otherwise(F.transform("parts", text.word_count)))
     else:
         full = split_by_tokenizer(full, count_tokens)
     parts = full.withColumn("whole", F.size("parts") == 1).select("document_id", "course", "lecture", "section", "page", "whole", F.posexplode(F.arrays_zip("parts", "counts")).alias("part", "p"))

@@ -31,13 +31,16 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    numbers = F.sequence(F.lit(0), F.ceil(F.size(lines) / LINES_A_PAGE).cast("int") - 1)
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("course"), F.transform(numbers, lambda i: F.array_join(F.slice(lines, i * LINES_A_PAGE + 1, F.lit(LINES_A_PAGE)), "\n")).alias("pages"))
+    numbers = lambda lines: F.sequence(F.lit(0), F.ceil(F.size(lines) / LINES_A_PAGE).cast("int") - 1)
+    cut = lambda lines: F.transform(numbers(lines), lambda i: F.array_join(F.slice(lines, i * LINES_A_PAGE + 1, F.lit(LINES_A_PAGE)), "\n"))
+    # The lines are bound as an element, so that a text is not split again for every page.
+    bound = F.transform(F.array(F.split(F.coalesce("text", F.lit("")), "\n")), cut)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("course"), F.get(bound, F.lit(0)).alias("pages"))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return page_arrays(spark, sf).select("document_id", "course", F.posexplode("pages").alias("p", "text")).select("document_id", "course", (F.col("p") + 1).alias("page"), "text")
+    # Every document has a page; the outer form spares the test for empty ones, which would cut all texts twice more.
+    return page_arrays(spark, sf).select("document_id", "course", F.posexplode_outer("pages").alias("p", "text")).select("document_id", "course", (F.col("p") + 1).alias("page"), "text")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +82,8 @@ def quiz_status(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = stored(spark, sf)
     owned = quiz.allocate(quiz.planned(quiz.buckets(rows, documents(spark, sf))), schema.DEFAULT_QUESTIONS, "course", "lecture")
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("first_ordinal", "key")) - 1
-    chosen = owned.withColumn("section_index", index).join(quiz.bucket_texts(owned, rows), "key").select(F.col("document_id").alias("scope"), "section_index", "key", "quota", "content")
+    # Each section has chunks; only the texts of those that are owed questions are compared with quotes.
+    chosen = owned.withColumn("section_index", index).join(quiz.bucket_texts(owned.where("quota > 0"), rows), "key", "left").select(F.col("document_id").alias("scope"), "section_index", "key", "quota", "content")
     quote = F.when(F.col("ordinal") % 3 == 0, "entirely made up words").otherwise(F.col("content"))
     asked = rows.select(F.col("document_id").alias("scope"), F.col("ordinal").alias("pos"), F.expr("ordinal div 2").cast("int").alias("section_index"), quote.alias("supporting_quote"))
     told = quiz.judged(asked, chosen).join(chosen.select("scope", "section_index", "key"), ["scope", "section_index"], "left")
