@@ -79,3 +79,12 @@ def test_quotes_of_sections_owed_nothing_are_not_compared(spark):
     assert [got[0, p] for p in range(3)] == ["over_quota"] * 3 == [got[2, p] for p in range(3)]
     assert [got[1, p] for p in range(3)] == ["unverified", "kept", "over_quota"] and got[3, 0] == "bad_section"
     assert "quota" in (plan := told._jdf.queryExecution().optimizedPlan().toString()) and "> 0)" in plan, plan
+
+
+def test_questions_of_many_files_share_blocks(spark, monkeypatch):
+    seen = []
+    real = retrieval._blocks
+    monkeypatch.setattr(retrieval, "_blocks", lambda df, size: (seen.append(real(df, size)), seen[-1])[1])
+    vectors = spark.range(0, 400, 1, 20).select("id", F.lit("c").alias("course"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    assert retrieval.top_k(vectors.withColumnRenamed("id", "query_id"), vectors, 3).count() == 1200
+    assert seen[0].count() <= retrieval.QUERY_SALT  # not one a file, each of which would meet every block of rows
